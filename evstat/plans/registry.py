@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("evstat.plans.catalog",)
+MODULES = ("evstat.plans.catalog", "evstat.plans.modeling")
 
 
 def _load():
