@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evstat.functions.exprs import numeric_reading
-from evstat.operators.quantiles import exact_quantiles
+from evstat.operators.quantiles import exact_quantiles_multi
 
 _STATS = {
     "mean": F.avg,
@@ -117,15 +117,17 @@ def summary_exact(df: DataFrame, cols: Sequence[str] | None = None,
                  F.min(x).alias(f"min_{i}"),
                  F.max(x).alias(f"max_{i}")]
     head = df.agg(*aggs).first()
+    qs: dict[str, list] = {}
+    if pct:
+        src = df.select(*[_numeric(df, c).alias(f"_x{i}") for i, c in enumerate(cols)])
+        qs = exact_quantiles_multi(src, [f"_x{i}" for i in range(len(cols))], list(pct.values()))
     table: dict[str, list] = {s: [] for s in stats}
     for i, c in enumerate(cols):
-        qs = {}
-        if pct:
-            src = df.select(_numeric(df, c).alias("_x"))
-            vals = exact_quantiles(src, "_x", list(pct.values()))
-            qs = dict(zip(pct.keys(), vals))
         for s in stats:
-            table[s].append(qs[s] if s in pct else head[f"{s}_{i}"])
+            if s in pct:
+                table[s].append(qs[f"_x{i}"][list(pct).index(s)])
+            else:
+                table[s].append(head[f"{s}_{i}"])
     schema = T.StructType([T.StructField("summary", T.StringType(), False)]
                           + [T.StructField(c, T.DoubleType(), True) for c in cols])
     rows = [[s] + [None if v is None else float(v) for v in table[s]] for s in stats]

@@ -1,25 +1,28 @@
-"""Exact interpolated quantiles without gathering the column (used by A3/A4, E15).
+"""Exact interpolated quantiles without gathering a column (used by A3/A4, E15).
 
 Spark's exact ``percentile`` aggregate keeps every distinct value of the
 column in one final task, which does not survive a 100 TB column.  This
-operator finds the value at each needed rank by repeated narrowing:
-
-1. one aggregate gives ``n``, the finite ``min``/``max`` and the count of
-   infinities;
-2. each round cuts every open bracket ``[lo, hi]`` into ``B`` equal-width
-   buckets and runs **one** grouped aggregate (partial aggregation on the
-   map side, at most ``targets x B`` rows out) returning count / min /
-   max per bucket;
-3. the bucket holding the wanted rank becomes the next bracket (using the
-   bucket's real min / max), until min == max.
-
-The bucket expression is monotone in the value, so buckets are
-contiguous runs of the sorted column and the counts locate ranks
-exactly.  A hot value (a third of all rows, say) simply becomes a
-one-value bucket and resolves at once.  Only bucket tables (bounded by
-``targets x B``) reach the driver.  The result equals linear
-interpolation between the two closest ranks, the definition of Spark's
-``percentile`` and of SQL ``quantile_cont``.
+operator finds the value at each needed rank by repeated narrowing,
+for any number of columns and ranks at once:
+
+1. one aggregate gives, per column, ``n``, the finite ``min``/``max`` and
+   the number of infinities;
+2. each round cuts every open bracket ``[lo, hi]`` (one per column and
+   rank) into ``B`` equal-width buckets and runs **one** grouped
+   aggregate over the table - map-side partial counts / min / max per
+   bucket, at most ``targets x B`` rows after the shuffle;
+3. a running sum over each target's buckets (a window over at most ``B``
+   rows per target) picks the bucket that holds the wanted rank; only
+   that one row per target returns to the driver and becomes the next
+   bracket (with the bucket's real min / max), until min == max.
+
+The bucket expression is monotone in the value, so buckets are contiguous
+runs of the sorted column and counts locate ranks exactly.  A hot value
+(a third of all rows, say) becomes a one-value bucket and resolves at
+once.  Each round shrinks a bracket's width by a factor ``B``, so a
+handful of rounds suffice even for 10^12 distinct doubles.  The result
+is linear interpolation between the two closest ranks - the definition
+of Spark's ``percentile`` and of SQL ``quantile_cont``.
 """
 
 from __future__ import annotations
@@ -27,110 +30,135 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+BUCKETS = 1 << 14
 MAX_ROUNDS = 200
+_INF = float("inf")
 
 
-def _values(df: DataFrame, col: str) -> DataFrame:
-    v = F.col(col).cast("double")
-    return df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan(F.col("v")))
+def _stacked(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``c int, v double`` for every non-null, non-NaN cell of ``cols`` (one scan)."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v"))
+                      for i, c in enumerate(cols)])
+    return df.select(F.inline(pairs)).where(F.col("v").isNotNull() & ~F.isnan(F.col("v")))
 
 
-def select_ranks(values: DataFrame, ranks: Sequence[int], buckets: int = BUCKETS) -> dict[int, float]:
-    """Exact value at each 0-based rank of the non-null, non-NaN column ``v``."""
-    inf = float("inf")
-    head = values.agg(
+def _heads(vals: DataFrame) -> dict[int, dict]:
+    finite = F.abs(F.col("v")) != F.lit(_INF)
+    rows = vals.groupBy("c").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("v") == F.lit(-inf), 1).otherwise(0)).alias("n_neg_inf"),
-        F.sum(F.when(F.col("v") == F.lit(inf), 1).otherwise(0)).alias("n_pos_inf"),
-        F.min(F.when(F.abs(F.col("v")) != F.lit(inf), F.col("v"))).alias("lo"),
-        F.max(F.when(F.abs(F.col("v")) != F.lit(inf), F.col("v"))).alias("hi"),
-    ).first()
-    n = int(head["n"])
-    out: dict[int, float] = {}
-    # state: rank -> (lo, hi, below)
-    open_: dict[int, tuple[float, float, int]] = {}
-    for r in sorted(set(int(r) for r in ranks)):
-        if r < 0 or r >= n:
-            raise ValueError(f"rank {r} outside [0, {n})")
-        if r < head["n_neg_inf"]:
-            out[r] = -inf
-        elif r >= n - head["n_pos_inf"]:
-            out[r] = inf
-        elif head["lo"] == head["hi"]:
-            out[r] = float(head["lo"])
-        else:
-            open_[r] = (float(head["lo"]), float(head["hi"]), int(head["n_neg_inf"]))
+        F.sum(F.when(F.col("v") == F.lit(-_INF), 1).otherwise(0)).alias("neg"),
+        F.sum(F.when(F.col("v") == F.lit(_INF), 1).otherwise(0)).alias("pos"),
+        F.min(F.when(finite, F.col("v"))).alias("lo"),
+        F.max(F.when(finite, F.col("v"))).alias("hi")).collect()  # one row per column
+    return {r["c"]: r.asDict() for r in rows}
+
+
+def select_ranks(vals: DataFrame, wanted: dict[int, Sequence[int]],
+                 buckets: int = BUCKETS, heads: dict[int, dict] | None = None
+                 ) -> dict[tuple[int, int], float]:
+    """Exact value at each 0-based rank: ``wanted = {column_id: [rank, ...]}``."""
+    heads = heads if heads is not None else _heads(vals)
+    out: dict[tuple[int, int], float] = {}
+    open_: dict[tuple[int, int], tuple[float, float, int]] = {}
+    for c, ranks in wanted.items():
+        h = heads.get(c)
+        for r in sorted(set(int(x) for x in ranks)):
+            if h is None or r < 0 or r >= h["n"]:
+                raise ValueError(f"rank {r} outside column {c}")
+            if r < h["neg"]:
+                out[(c, r)] = -_INF
+            elif r >= h["n"] - h["pos"]:
+                out[(c, r)] = _INF
+            elif h["lo"] == h["hi"]:
+                out[(c, r)] = float(h["lo"])
+            else:
+                open_[(c, r)] = (float(h["lo"]), float(h["hi"]), int(h["neg"]))
 
     rounds = 0
     while open_:
         rounds += 1
         if rounds > MAX_ROUNDS:
             raise RuntimeError("quantile narrowing did not converge")
-        brackets = sorted(set(open_.values()))
+        # one bracket per distinct (column, lo, hi); targets sharing it share the counts
+        brackets = sorted(set((c, lo, hi) for (c, _), (lo, hi, _) in open_.items()))
         bid = {b: i for i, b in enumerate(brackets)}
-        arr = F.array(*[
-            F.struct(F.lit(i).alias("t"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
-            for i, (lo, hi, _) in enumerate(brackets)
-        ])
+        arr = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(c).alias("c"),
+                                 F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+                        for i, (c, lo, hi) in enumerate(brackets)])
         v = F.col("v")
-        hit = values.select(v, F.explode(F.filter(arr, lambda s: (v >= s["lo"]) & (v <= s["hi"]))).alias("s"))
+        hit = vals.select(v, F.explode(F.filter(
+            arr, lambda s: (s["c"] == F.col("c")) & (v >= s["lo"]) & (v <= s["hi"]))).alias("s"))
         width = F.col("s.hi") - F.col("s.lo")
         bucket = F.least(F.floor((v - F.col("s.lo")) / width * F.lit(float(buckets))),
                          F.lit(buckets - 1))
-        table = (hit.groupBy(F.col("s.t").alias("t"), bucket.alias("b"))
-                 .agg(F.count(F.lit(1)).alias("c"), F.min(v).alias("mn"), F.max(v).alias("mx"))
-                 .collect())  # bounded: brackets x buckets rows
-        per: dict[int, list] = {}
-        for row in table:
-            per.setdefault(row["t"], []).append((row["b"], row["c"], row["mn"], row["mx"]))
-        for t in per:
-            per[t].sort()
-        nxt: dict[int, tuple[float, float, int]] = {}
-        for r, br in open_.items():
-            lo, hi, below = br
-            cum = below
-            for _, c, mn, mx in per[bid[br]]:
-                if r < cum + c:
-                    if mn == mx:
-                        out[r] = float(mn)
-                    else:
-                        nxt[r] = (float(mn), float(mx), cum)
-                    break
-                cum += c
-            else:  # pragma: no cover - counts always cover the rank
-                raise RuntimeError("rank not covered by bucket counts")
+        counts = hit.groupBy(F.col("s.t").alias("t"), bucket.alias("b")).agg(
+            F.count(F.lit(1)).alias("cnt"), F.min(v).alias("mn"), F.max(v).alias("mx"))
+        # targets: (bracket id, rank offset inside the bracket)
+        targets = [(bid[(c, lo, hi)], r - below, c, r)
+                   for (c, r), (lo, hi, below) in open_.items()]
+        tdf = vals.sparkSession.createDataFrame(
+            [(t, off, c, r) for t, off, c, r in targets], "t int, off long, col int, rank long")
+        w = Window.partitionBy("t").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cum = counts.withColumn("upto", F.sum("cnt").over(w))
+        picked = (cum.join(tdf, "t")
+                  .where((F.col("upto") - F.col("cnt") <= F.col("off")) & (F.col("off") < F.col("upto")))
+                  .select("col", "rank", "mn", "mx", (F.col("upto") - F.col("cnt")).alias("before"))
+                  .collect())  # one row per open target
+        nxt: dict[tuple[int, int], tuple[float, float, int]] = {}
+        for row in picked:
+            key = (row["col"], row["rank"])
+            lo, hi, below = open_[key]
+            if row["mn"] == row["mx"]:
+                out[key] = float(row["mn"])
+            else:
+                nxt[key] = (float(row["mn"]), float(row["mx"]), below + int(row["before"]))
+        if len(picked) != len(open_):  # pragma: no cover - counts always cover the ranks
+            raise RuntimeError("rank not covered by bucket counts")
         open_ = nxt
     return out
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float | None]:
-    """Interpolated exact quantiles of ``col`` (nulls and NaN ignored)."""
-    vals = _values(df, col)
-    n = vals.count()
-    if n == 0:
-        return [None] * len(probs)
-    need = set()
-    pos = []
+def exact_quantiles_multi(df: DataFrame, cols: Sequence[str],
+                          probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Interpolated exact quantiles of several columns (nulls and NaN ignored)."""
     for p in probs:
         if not 0.0 <= p <= 1.0:
             raise ValueError("probabilities must be in [0, 1]")
-        x = p * (n - 1)
-        pos.append(x)
-        need.add(math.floor(x))
-        need.add(math.ceil(x))
-    at = select_ranks(vals, sorted(need))
-    res = []
-    for x in pos:
-        a, b = at[math.floor(x)], at[math.ceil(x)]
-        frac = x - math.floor(x)
-        res.append(a if frac == 0 or a == b else a + (b - a) * frac)
+    vals = _stacked(df, cols)
+    heads = _heads(vals)
+    wanted: dict[int, set] = {}
+    for i in range(len(cols)):
+        n = heads.get(i, {}).get("n", 0)
+        if n:
+            wanted[i] = set()
+            for p in probs:
+                x = p * (n - 1)
+                wanted[i].update((math.floor(x), math.ceil(x)))
+    at = select_ranks(vals, wanted, heads=heads) if wanted else {}
+    res: dict[str, list[float | None]] = {}
+    for i, c in enumerate(cols):
+        n = heads.get(i, {}).get("n", 0)
+        if not n:
+            res[c] = [None] * len(probs)
+            continue
+        row = []
+        for p in probs:
+            x = p * (n - 1)
+            a, b = at[(i, math.floor(x))], at[(i, math.ceil(x))]
+            frac = x - math.floor(x)
+            row.append(a if frac == 0 or a == b else a + (b - a) * frac)
+        res[c] = row
     return res
 
 
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float | None]:
+    """Interpolated exact quantiles of one column."""
+    return exact_quantiles_multi(df, [col], probs)[col]
+
+
 def exact_quantiles_row(df: DataFrame, col: str, probs: Sequence[float],
                         names: Sequence[str]) -> DataFrame:
     """One-row DataFrame with the exact quantiles under ``names``."""
