@@ -110,8 +110,9 @@ def outside_counts(df: DataFrame, col: str, edges: Sequence[float]) -> DataFrame
     """Rows the histogram does not count: ``under, over, missing``."""
     e = _check(edges)
     x = F.col(col).cast("double")
+    num = ~F.isnan(x)  # Spark orders NaN above every number
     return df.agg(
-        F.count(F.when(x < F.lit(e[0]), 1)).alias("under"),
-        F.count(F.when(x > F.lit(e[-1]), 1)).alias("over"),
+        F.count(F.when(num & (x < F.lit(e[0])), 1)).alias("under"),
+        F.count(F.when(num & (x > F.lit(e[-1])), 1)).alias("over"),
         F.count(F.when(x.isNull() | F.isnan(x), 1)).alias("missing"),
     )
