@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
                                        NaiveBayes, RandomForestClassifier)
@@ -159,6 +160,26 @@ def load_best_of_cv(path: str) -> PipelineModel:
     return CrossValidatorModel.load(path).bestModel
 
 
+def training_frame(df: DataFrame) -> DataFrame:
+    """Frame for an iterative fit: spread over the cluster, persisted.
+
+    Iterative estimators pass over their input once per iteration.  When
+    the input has fewer partitions than the cluster has cores (a few
+    large files), it is spread round-robin once; at scale the input is
+    already split finely and no shuffle is added.  The frame is persisted
+    (memory, spilling to disk) so iterations do not re-read the source;
+    a lost executor's blocks are recomputed from lineage.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def fit_pipeline(stages: Sequence, df: DataFrame) -> PipelineModel:
-    """M8: fit all stages in order."""
-    return Pipeline(stages=list(stages)).fit(df)
+    """M8: fit all stages in order on a persisted, well-spread training frame."""
+    train = training_frame(df)
+    try:
+        return Pipeline(stages=list(stages)).fit(train)
+    finally:
+        train.unpersist()

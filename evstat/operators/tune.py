@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import FeatureHasher
@@ -65,7 +64,7 @@ def cross_validate(pipeline: Pipeline, grid: list, train: DataFrame, label: str,
                         numFolds=folds, parallelism=parallelism, seed=seed)
     if fold_col:
         cv.setFoldCol(fold_col)
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    train = models.training_frame(train)
     try:
         return cv.fit(train)
     finally:
