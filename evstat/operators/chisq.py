@@ -190,8 +190,7 @@ def association_report(df: DataFrame, features: Sequence[str], label: str,
                                     elastic_net=elastic_net, features="features", label="label_idx")
     src = df.select(*[F.col(f).cast("string").alias(f) for f in features],
                     F.col(label).cast("string").alias(label)).where(F.col(label).isNotNull())
-    from pyspark.ml import Pipeline
-    model = Pipeline(stages=pipe + [lr]).fit(src)
+    model = models.fit_pipeline(pipe + [lr], src)
     pred = model.transform(src)
     lr_model = model.stages[-1]
     return {

@@ -22,28 +22,28 @@ def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "p
                        num_features: int | None = None, fit_intercept: bool = True) -> DataFrame:
     """V1-V3, V14 in one row: ``n, rmse, mse, mae, r2, explained_variance[, dof]``.
 
-    Two-pass by construction (the label mean is needed for R^2 and the
-    explained variance) but expressed as one aggregate over sums:
-    ``SST = sum(l^2) - n*mean^2`` would lose precision, so the mean comes
-    from a scalar subquery and the centred sums from one pass.
+    One pass, one aggregate (no subquery, so it also works on predictions
+    of a model that Spark treats as non-deterministic).  The centred sums
+    come from Spark's numerically stable moments:
+    ``SST = n var_pop(y)``, ``SSR = n (var_pop(p) + (mean_p - mean_y)^2)``.
     """
     y = F.col(label).cast("double")
     p = F.col(prediction).cast("double")
-    mean_y = df.agg(F.avg(y)).scalar()
     agg = df.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum((p - y) * (p - y)).alias("sse"),
         F.sum(F.abs(p - y)).alias("sae"),
-        F.sum((y - mean_y) * (y - mean_y)).alias("sst"),
-        F.sum((p - mean_y) * (p - mean_y)).alias("ssr"),
+        F.var_pop(y).alias("vy"), F.var_pop(p).alias("vp"),
+        F.avg(y).alias("my"), F.avg(p).alias("mp"),
     )
+    ev = F.col("vp") + (F.col("mp") - F.col("my")) * (F.col("mp") - F.col("my"))
     cols = [
         F.col("n"),
         F.sqrt(F.col("sse") / F.col("n")).alias("rmse"),
         (F.col("sse") / F.col("n")).alias("mse"),
         (F.col("sae") / F.col("n")).alias("mae"),
-        (F.lit(1.0) - F.col("sse") / F.col("sst")).alias("r2"),
-        (F.col("ssr") / F.col("n")).alias("explained_variance"),
+        (F.lit(1.0) - F.col("sse") / (F.col("vy") * F.col("n"))).alias("r2"),
+        ev.alias("explained_variance"),
     ]
     if num_features is not None:
         cols.append((F.col("n") - F.lit(num_features) - F.lit(1 if fit_intercept else 0))
@@ -92,18 +92,22 @@ def per_label_metrics(df: DataFrame, label: str = "label", prediction: str = "pr
 def weighted_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Accuracy and label-share weighted FPR, TPR, F1, precision, recall.
 
-    Works on the per-label table (one row per class), never on the rows.
+    ``sum(share * m) = sum(support * m) / sum(support)``: one aggregate over
+    the per-label table (one row per class), never over the rows.
     """
     per = per_label_metrics(df, label, prediction)
-    total = per.agg(F.sum("support")).scalar()
-    w = F.col("support") / total
+    sup = F.col("support")
+
+    def wavg(c: str):
+        return F.sum(sup * F.col(c)) / F.sum(sup)
+
     return per.agg(
-        (F.sum("tp") / F.sum("support")).alias("accuracy"),
-        F.sum(w * F.col("false_positive_rate")).alias("weighted_false_positive_rate"),
-        F.sum(w * F.col("true_positive_rate")).alias("weighted_true_positive_rate"),
-        F.sum(w * F.col("f_measure")).alias("weighted_f_measure"),
-        F.sum(w * F.col("precision")).alias("weighted_precision"),
-        F.sum(w * F.col("recall")).alias("weighted_recall"),
+        (F.sum("tp") / F.sum(sup)).alias("accuracy"),
+        wavg("false_positive_rate").alias("weighted_false_positive_rate"),
+        wavg("true_positive_rate").alias("weighted_true_positive_rate"),
+        wavg("f_measure").alias("weighted_f_measure"),
+        wavg("precision").alias("weighted_precision"),
+        wavg("recall").alias("weighted_recall"),
     )
 
 

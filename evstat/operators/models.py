@@ -160,18 +160,24 @@ def load_best_of_cv(path: str) -> PipelineModel:
     return CrossValidatorModel.load(path).bestModel
 
 
+SPREAD_MIN_ROWS_PER_CORE = 20000
+
+
 def training_frame(df: DataFrame) -> DataFrame:
-    """Frame for an iterative fit: spread over the cluster, persisted.
-
-    Iterative estimators pass over their input once per iteration.  When
-    the input has fewer partitions than the cluster has cores (a few
-    large files), it is spread round-robin once; at scale the input is
-    already split finely and no shuffle is added.  The frame is persisted
-    (memory, spilling to disk) so iterations do not re-read the source;
-    a lost executor's blocks are recomputed from lineage.
+    """Frame for an iterative fit: spread over the cluster when worth it, persisted.
+
+    Iterative estimators pass over their input once per iteration.  At
+    scale the input already has more partitions than the cluster has
+    cores and is left alone.  When it has fewer (a few large files), one
+    counting pass decides: with at least ``SPREAD_MIN_ROWS_PER_CORE`` rows
+    per core it is spread round-robin once; smaller inputs stay put,
+    since more tasks would only add scheduling overhead to every
+    iteration.  The frame is persisted (memory, spilling to disk) so
+    iterations do not re-read the source; a lost executor's blocks are
+    recomputed from lineage.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    if df.rdd.getNumPartitions() < cores and df.count() >= cores * SPREAD_MIN_ROWS_PER_CORE:
         df = df.repartition(cores)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 

@@ -421,12 +421,17 @@ def linreg_hashed(spark: SparkSession, sf: str) -> DataFrame:
 @query("cv_grid")
 def cv_grid(spark: SparkSession, sf: str) -> DataFrame:
     """5-fold search over the 72-point grid on shards 2 and 20; ranked table."""
-    df = _model_frame(spark, sf).withColumn("label", X.rescale("AvgTone", 20, 40))
+    df = _model_frame(spark, sf).withColumns({
+        "label": X.rescale("AvgTone", 20, 40),
+        # deterministic folds: recomputing a lost partition gives the same split
+        "fold": prep.shard_key(F.struct("l_orderkey", "l_linenumber"), tune.NUM_FOLDS).cast("int")})
     train, _ = prep.shard_split(df, [2, 20], [6])
     pipe, h, lr = tune.hashed_regression(
         ["Actor1Code", "Actor1CountryCode", "ActionGeo_CountryCode", "GoldsteinScale"], "label")
     grid = tune.param_grid(h, lr)
-    cvm = tune.cross_validate(pipe, grid, train, "label")
+    cores = spark.sparkContext.defaultParallelism
+    cvm = tune.cross_validate(pipe, grid, train, "label", parallelism=max(tune.PARALLELISM, cores),
+                              fold_col="fold")
     return tune.grid_table(spark, cvm)
 
 
@@ -445,3 +450,56 @@ def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch_path(spark, f"fitted/{uuid.uuid4().hex}")
     io.write_table(scored, out)
     return metrics.regression_metrics(io.read_table(spark, out))
+
+
+# ============================================================ reports and views (S13-S15, A3/A4, T-4, V12)
+
+@query("preview_orders", """
+select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
+from orders order by o_orderkey limit 20
+""")
+def preview_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """The default 20-row preview, in a defined order."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
+                                          "o_totalprice", "o_orderpriority")
+    return io.preview(o, 20, ["o_orderkey"])
+
+
+@query("cached_view_sql", """
+select o_orderpriority, count(*) as n, round(avg(o_totalprice), 4) as avg_price
+from orders where o_totalprice is not null and o_orderpriority is not null group by 1
+""")
+def cached_view_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """S13 + S14: a named view, cached, queried with SQL, then released."""
+    view = f"orders_{uuid.uuid4().hex[:8]}"
+    io.register_view(table(spark, sf, "orders").select("o_orderpriority", "o_totalprice"), view)
+    io.cache_view(spark, view)
+    try:
+        out = spark.sql(f"select o_orderpriority, count(*) as n, round(avg(o_totalprice), 4) as avg_price "
+                        f"from {view} where o_totalprice is not null and o_orderpriority is not null "
+                        f"group by o_orderpriority")
+        rows = out.collect()  # result is one row per priority
+    finally:
+        io.uncache_view(spark, view)
+    return spark.createDataFrame(rows, out.schema)
+
+
+@query("summary_spark")
+def summary_spark(spark: SparkSession, sf: str) -> DataFrame:
+    """A3/A4 as Spark prints them (``df.summary``, GK percentiles): rows-only."""
+    ev = table(spark, sf, "events").select("value", "user_id", "event_type")
+    return describe.summary_approx(ev, "count", "mean", "stddev", "25%", "75%")
+
+
+@query("association_report")
+def association_report(spark: SparkSession, sf: str) -> DataFrame:
+    """T-4: chi-square + logistic model + per-label metrics of its predictions."""
+    rep = chisq.association_report(chi_input(spark, sf), ["is_same", "scale", "discount"], "ToneLevel")
+    return rep["by_label"]
+
+
+@query("logistic_objective")
+def logistic_objective(spark: SparkSession, sf: str) -> DataFrame:
+    """Objective per iteration of the case-3 logistic model."""
+    rep = chisq.association_report(chi_input(spark, sf), ["is_same", "scale", "discount"], "ToneLevel")
+    return rep["objective"]
