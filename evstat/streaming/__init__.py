@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference declares a streaming dependency but no job reads a
+stream, keeps state or handles late data, so there is no streaming
+operator to rebuild.  Every operator in ``evstat.operators`` is a plain
+DataFrame transform and can be applied inside ``foreachBatch`` of a
+Structured Streaming query by a caller who needs it.
+"""
