@@ -170,6 +170,15 @@ def filter_present_shards(spark: SparkSession, sf: str) -> DataFrame:
     return prep.in_shards(prep.keep_present(li, ["Actor1Code"]), [3, 5, 7, 8])
 
 
+@query("shards_below", """
+select l_orderkey % 43 as key, count(*) as n from lineitem where l_orderkey % 43 < 8 group by 1
+""")
+def shards_below(spark: SparkSession, sf: str) -> DataFrame:
+    """the shards below a threshold, rows per shard."""
+    li = table(spark, sf, "lineitem").select(lineitem_key().alias("key"))
+    return prep.shards_below(li, 8).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("exclude_category", """
 select l_orderkey, l_linenumber, l_returnflag, l_quantity, l_extendedprice
 from lineitem

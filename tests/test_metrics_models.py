@@ -132,3 +132,28 @@ def test_classifiers_predict_known_labels(spark):
         labels = {r.label for r in out.select("label").distinct().collect()}
         preds = {r.prediction for r in out.select("prediction").distinct().collect()}
         assert preds <= {float(x) for x in range(0, 6)} and labels <= set(range(1, 6))
+
+
+def test_vector_indexer_and_train_validation_split(spark):
+    from pyspark.ml.linalg import Vectors
+    df = spark.createDataFrame([(Vectors.dense([float(i % 3), float(i)]), float(i)) for i in range(60)],
+                               ["features", "label"])
+    vi = feat.vector_indexer("features", "indexed", max_categories=5).fit(df)
+    assert list(vi.categoryMaps.keys()) == [0]  # only the 3-valued slot is categorical
+    pipe, h, lr = tune.hashed_regression(["label"], "label", 16)
+    src = df.select("label")
+    grid = tune.param_grid(h, lr, [0.0, 0.1], [True], [0.0], [16])
+    tvs = tune.train_validation_split(pipe, grid, src, "label")
+    assert len(tvs.validationMetrics) == 2
+
+
+def test_association_report_parts(spark):
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").select(
+        F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"),
+        F.when(F.col("l_quantity") > 25, "hi").otherwise("lo").alias("level"))
+    rep = chisq.association_report(li, ["flag", "status"], "level")
+    assert rep["chi_square"].count() == 2
+    assert rep["predictions"].count() == li.count()
+    w = rep["weighted"].first()
+    assert 0.0 <= w.accuracy <= 1.0
+    assert rep["objective"].count() >= 1
