@@ -100,18 +100,38 @@ def vector_columns(v: str | Column, n: int, prefix: str = "f") -> list[Column]:
 
 # ---------------------------------------------------------------- DataFrame forms (oracle-checkable)
 
+def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """0-based position of every row in a global order, without a one-task window.
+
+    ``orderBy`` range-partitions the rows (partition ``i`` holds only rows
+    before those of ``i + 1``); each row gets its number inside its
+    partition, and per-partition row counts - one row per partition,
+    bounded by the partition count, not the data - give the offsets.
+    """
+    from pyspark.sql import Window
+    by_part = df.orderBy(*order).withColumn("_pid", F.spark_partition_id())
+    local = by_part.withColumn(
+        "_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)) - 1)
+    sizes = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_size"))  # same sort, reused
+    offsets = sizes.withColumn(
+        "_offset", F.coalesce(F.sum("_size").over(
+            Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return (local.join(F.broadcast(offsets.select("_pid", "_offset")), "_pid")
+            .withColumn(name, F.col("_offset") + F.col("_local"))
+            .drop("_pid", "_local", "_offset"))
+
+
 def string_index_table(df: DataFrame, col: str, name: str = "idx") -> DataFrame:
     """M1 as a table ``value, n, idx``: frequency descending, ties by value ascending.
 
-    The label table has one row per distinct value; ordering it is a
-    global sort over the distinct values only (range-partitioned by
-    Spark), and the index is the running count over that order.
+    One row per distinct value, counted with map-side partial
+    aggregation; the index is the row's position in the global order
+    (``ranked``), so no task ever holds all distinct values.
     """
     counts = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n")) \
         .where(F.col("value").isNotNull())
-    from pyspark.sql import Window
-    w = Window.orderBy(F.col("n").desc(), F.col("value"))
-    return counts.withColumn(name, (F.row_number().over(w) - 1).cast("double"))
+    out = ranked(counts, [F.col("n").desc(), F.col("value")], name)
+    return out.withColumn(name, F.col(name).cast("double")).select("value", "n", name)
 
 
 def standard_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_scaled") -> DataFrame:

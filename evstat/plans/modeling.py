@@ -474,14 +474,15 @@ def cached_view_sql(spark: SparkSession, sf: str) -> DataFrame:
     view = f"orders_{uuid.uuid4().hex[:8]}"
     io.register_view(table(spark, sf, "orders").select("o_orderpriority", "o_totalprice"), view)
     io.cache_view(spark, view)
+    path = scratch_path(spark, f"cached_view/{uuid.uuid4().hex}")
     try:
         out = spark.sql(f"select o_orderpriority, count(*) as n, round(avg(o_totalprice), 4) as avg_price "
                         f"from {view} where o_totalprice is not null and o_orderpriority is not null "
                         f"group by o_orderpriority")
-        rows = out.collect()  # result is one row per priority
+        io.write_table(out, path)  # materialise before the cache is released
     finally:
         io.uncache_view(spark, view)
-    return spark.createDataFrame(rows, out.schema)
+    return io.read_table(spark, path)
 
 
 @query("summary_spark")

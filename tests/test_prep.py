@@ -61,3 +61,15 @@ def test_quantile_and_mean_cuts(spark):
     assert q["q25"] == 25.75 and q["q75"] == 75.25
     m = prep.with_mean_cut(df, "x", "m").first()
     assert m["m"] == 50.5
+
+
+def test_distributed_rank_equals_global_window(spark):
+    from pyspark.sql import Window
+
+    from evstat.operators.features import ranked
+    df = spark.range(0, 20000, 1, 5).select(((F.col("id") * 7919) % 20011).alias("v"),
+                                             (F.col("id") % 3).alias("g"))
+    r = ranked(df, [F.col("g"), F.col("v").desc()], "rk")
+    want = F.row_number().over(Window.orderBy(F.col("g"), F.col("v").desc())) - 1
+    assert r.withColumn("exp", want).where("rk != exp").count() == 0
+    assert r.count() == 20000
