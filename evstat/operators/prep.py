@@ -198,10 +198,8 @@ def with_quantile_cuts(df: DataFrame, col: str, probs: Sequence[float],
         vals = exact_quantiles(df, col, probs)
         return df.withColumns({n: F.lit(v).cast("double") for n, v in zip(names, vals)})
     acc = accuracy or 10000
-    sub = {}
-    for i, n in enumerate(names):
-        sub[n] = df.agg(F.percentile_approx(F.col(col), list(probs), acc)[i]).scalar()
-    return df.withColumns(sub)
+    qs = df.agg(F.percentile_approx(F.col(col), list(probs), acc)).scalar()  # one sketch pass
+    return df.withColumns({n: qs[i] for i, n in enumerate(names)})
 
 
 def with_mean_cut(df: DataFrame, col: str, name: str) -> DataFrame:

@@ -49,7 +49,8 @@ def chi_input(spark: SparkSession, sf: str) -> DataFrame:
         X.number_to_text(X.round_half_even(F.col("l_quantity") / 2)).alias("scale"),
         F.col("l_discount").cast("string").alias("discount"),
         X.same_flag("Actor1Code", "Actor1CountryCode").cast("string").alias("is_same"),
-        level.alias("ToneLevel"))
+        level.alias("ToneLevel"),
+        F.col("l_extendedprice").alias("AvgTone"))
 
 
 def _chi_sql(feats: list[str]) -> str:
@@ -396,6 +397,15 @@ def linreg_mllib(spark: SparkSession, sf: str) -> DataFrame:
     return models.coefficients_table(spark, m.stages[-1])
 
 
+@query("linreg_three_features")
+def linreg_three_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Linear regression of the tone on the three indexed case-3 features (V13 table)."""
+    src = chi_input(spark, sf)
+    stages = feat.index_and_assemble(["is_same", "scale", "discount"])
+    m = models.fit_pipeline(stages + [models.linear_regression(label="AvgTone")], src)
+    return models.coefficients_table(spark, m.stages[-1])
+
+
 @query("linreg_indexed")
 def linreg_indexed(spark: SparkSession, sf: str) -> DataFrame:
     """R2: price on quantity plus the string-indexed return flag, scored."""

@@ -73,3 +73,17 @@ def test_distributed_rank_equals_global_window(spark):
     want = F.row_number().over(Window.orderBy(F.col("g"), F.col("v").desc())) - 1
     assert r.withColumn("exp", want).where("rk != exp").count() == 0
     assert r.count() == 20000
+
+
+def test_delimited_scan_is_permissive(spark, tmp_path):
+    from evstat.sources import io
+    p = tmp_path / "events.tsv"
+    full = "\t".join(["1", "20230101", "202301", "2023", "2023.0014"] + ["X"] * 20 + ["1", "010", "01", "01", "1",
+                     "2.5", "3", "3", "3", "-1.25"] + ["1"] + ["a"] * 7 + ["1"] + ["b"] * 7 + ["1"] + ["c"] * 7 + ["20230101", "u"])
+    short = "\t".join(["2", "x", "202301"])  # bad number, missing trailing fields
+    p.write_text(full + "\n" + short + "\n")
+    df = io.read_delimited(spark, str(p))
+    assert len(df.columns) == 61
+    rows = {r.GlobalEventId: r for r in df.collect()}
+    assert rows[1].AvgTone == -1.25 and rows[1].GoldsteinScale == 2.5 and rows[1].SOURCEURL == "u"
+    assert rows[2].Day is None and rows[2].MonthYear == 202301 and rows[2].AvgTone is None
