@@ -157,3 +157,13 @@ def test_association_report_parts(spark):
     w = rep["weighted"].first()
     assert 0.0 <= w.accuracy <= 1.0
     assert rep["objective"].count() >= 1
+
+
+def test_stage_of_type(spark):
+    from pyspark.ml.regression import LinearRegressionModel
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").select("l_quantity", "l_extendedprice")
+    m = models.fit_pipeline([feat.assembler(["l_quantity"]), models.linear_regression(label="l_extendedprice")], li)
+    assert isinstance(feat.stage_of_type(m, LinearRegressionModel), LinearRegressionModel)
+    with pytest.raises(LookupError):
+        from pyspark.ml.classification import NaiveBayesModel
+        feat.stage_of_type(m, NaiveBayesModel)

@@ -87,3 +87,19 @@ def test_delimited_scan_is_permissive(spark, tmp_path):
     rows = {r.GlobalEventId: r for r in df.collect()}
     assert rows[1].AvgTone == -1.25 and rows[1].GoldsteinScale == 2.5 and rows[1].SOURCEURL == "u"
     assert rows[2].Day is None and rows[2].MonthYear == 202301 and rows[2].AvgTone is None
+
+
+def test_random_split_seeded_and_whole(spark):
+    df = spark.range(2000)
+    a_test, a_train = prep.random_split(df, (0.1, 0.9), seed=7)
+    b_test, _ = prep.random_split(df, (0.1, 0.9), seed=7)
+    assert a_test.count() + a_train.count() == 2000
+    assert a_test.exceptAll(b_test).count() == 0 and 100 < a_test.count() < 300
+
+
+def test_all_of_and_project_exclude(spark):
+    df = spark.createDataFrame([(1, 5.0, "a"), (2, -1.0, "b"), (3, 7.0, None)], "_id int, x double, s string")
+    kept = prep.all_of(df, F.col("x") > 0, F.col("s").isNotNull())
+    assert [r._id for r in kept.collect()] == [1]
+    out = prep.project(df, ["_id", "x", "s"], {"x2": F.col("x") * 2}, exclude=["_id"])
+    assert out.columns == ["x", "s", "x2"]
