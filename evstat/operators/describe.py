@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evstat.functions.exprs import numeric_reading
-from evstat.operators.quantiles import exact_quantiles_multi
+from evstat.operators.quantiles import exact_quantiles_multi, head_columns, heads_from_row
 
 _STATS = {
     "mean": F.avg,
@@ -116,11 +116,14 @@ def summary_exact(df: DataFrame, cols: Sequence[str] | None = None,
                  F.stddev_samp(x).alias(f"stddev_{i}"),
                  F.min(x).alias(f"min_{i}"),
                  F.max(x).alias(f"max_{i}")]
+        if pct:
+            aggs += head_columns(x, i)  # quantile heads ride along: one pass fewer
     head = df.agg(*aggs).first()
     qs: dict[str, list] = {}
     if pct:
         src = df.select(*[_numeric(df, c).alias(f"_x{i}") for i, c in enumerate(cols)])
-        qs = exact_quantiles_multi(src, [f"_x{i}" for i in range(len(cols))], list(pct.values()))
+        qs = exact_quantiles_multi(src, [f"_x{i}" for i in range(len(cols))], list(pct.values()),
+                                   heads=heads_from_row(head, len(cols)))
     table: dict[str, list] = {s: [] for s in stats}
     for i, c in enumerate(cols):
         for s in stats:

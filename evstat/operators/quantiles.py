@@ -121,14 +121,39 @@ def select_ranks(vals: DataFrame, wanted: dict[int, Sequence[int]],
     return out
 
 
-def exact_quantiles_multi(df: DataFrame, cols: Sequence[str],
-                          probs: Sequence[float]) -> dict[str, list[float | None]]:
-    """Interpolated exact quantiles of several columns (nulls and NaN ignored)."""
+def head_columns(x, i: int) -> list:
+    """Aggregates giving column ``i``'s quantile head (to fold into another ``agg``)."""
+    num = x.isNotNull() & ~F.isnan(x)
+    finite = num & (F.abs(x) != F.lit(_INF))
+    return [F.count(F.when(num, 1)).alias(f"_qn_{i}"),
+            F.count(F.when(num & (x == F.lit(-_INF)), 1)).alias(f"_qneg_{i}"),
+            F.count(F.when(num & (x == F.lit(_INF)), 1)).alias(f"_qpos_{i}"),
+            F.min(F.when(finite, x)).alias(f"_qlo_{i}"),
+            F.max(F.when(finite, x)).alias(f"_qhi_{i}")]
+
+
+def heads_from_row(row, n_cols: int) -> dict[int, dict]:
+    """Quantile heads from a row produced with ``head_columns``."""
+    out = {}
+    for i in range(n_cols):
+        if row[f"_qn_{i}"]:
+            out[i] = {"n": row[f"_qn_{i}"], "neg": row[f"_qneg_{i}"], "pos": row[f"_qpos_{i}"],
+                      "lo": row[f"_qlo_{i}"], "hi": row[f"_qhi_{i}"]}
+    return out
+
+
+def exact_quantiles_multi(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                          heads: dict[int, dict] | None = None) -> dict[str, list[float | None]]:
+    """Interpolated exact quantiles of several columns (nulls and NaN ignored).
+
+    ``heads`` (from ``head_columns`` folded into a caller's aggregate)
+    saves the first pass.
+    """
     for p in probs:
         if not 0.0 <= p <= 1.0:
             raise ValueError("probabilities must be in [0, 1]")
     vals = _stacked(df, cols)
-    heads = _heads(vals)
+    heads = heads if heads is not None else _heads(vals)
     wanted: dict[int, set] = {}
     for i in range(len(cols)):
         n = heads.get(i, {}).get("n", 0)
