@@ -96,3 +96,12 @@ def test_shard_summary_recombines(spark):
                                   (F.col("id") * 0.5).alias("AvgTone"), (F.col("id") % 7).cast("double").alias("GoldsteinScale"))
     s = describe.shard_summary(df)
     assert s.count() == 43 and s.agg(F.sum("count")).first()[0] == 4300
+
+
+def test_uneven_edges_match_rdd_histogram(spark):
+    rnd = random.Random(11)
+    edges = sorted(set([round(rnd.uniform(-50, 50), 3) for _ in range(37)]))
+    xs = [rnd.uniform(-60, 60) for _ in range(4000)] + edges
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    ours = [r.n for r in histogram.histogram(df, "x", edges).orderBy("bin_start").collect()]
+    assert ours == df.rdd.map(lambda r: r.x).histogram(edges)[1]
