@@ -167,3 +167,27 @@ def test_stage_of_type(spark):
     with pytest.raises(LookupError):
         from pyspark.ml.classification import NaiveBayesModel
         feat.stage_of_type(m, NaiveBayesModel)
+
+
+def test_feature_hasher_size_sum_determinism(spark):
+    from pyspark.ml.functions import vector_to_array
+    df = spark.createDataFrame([("a", "x", 2.5), ("b", "y", 0.0), ("a", "x", -1.0)], "s string, t string, v double")
+    h = feat.hasher(["s", "t", "v"], "f", 1000)
+    out = h.transform(df)
+    again = h.transform(df)
+    assert out.select("f").exceptAll(again.select("f")).count() == 0
+    rows = out.select(F.size(vector_to_array("f")).alias("n"),
+                      F.aggregate(vector_to_array("f"), F.lit(0.0), lambda a, x: a + x).alias("s"),
+                      "v").collect()
+    assert all(r.n == 1000 for r in rows)
+    assert [round(r.s, 9) for r in rows] == [round(2 + r.v, 9) for r in rows]  # two strings add 1 each
+
+
+def test_perceptron_and_logistic_properties(spark):
+    from evstat.plans.modeling import logistic, mlp
+    m = mlp(spark, SF_SMALL)
+    assert m.count() == spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
+    assert {r.prediction for r in m.select("prediction").distinct().collect()} <= {0.0, 1.0}
+    lg = logistic(spark, SF_SMALL)
+    labels = {r.label for r in lg.select("label").distinct().collect()}
+    assert {r.prediction for r in lg.select("prediction").distinct().collect()} <= labels
