@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evstat.session import reliable_checkpoint
+
 MAX_LABELS = 10000
 
 
@@ -115,9 +117,11 @@ def distinct_levels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             .groupBy("column").agg(F.count(F.lit(1)).alias("levels")))
 
 
-def label_totals(df: DataFrame, label: str, max_labels: int = MAX_LABELS) -> dict:
-    """Rows per label class; raises when there are more than ``max_labels`` classes."""
-    rows = (df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+def label_totals(df: DataFrame, label: str, max_labels: int = MAX_LABELS,
+                 weight: str | None = None) -> dict:
+    """Rows (or summed ``weight``) per label class; raises above ``max_labels`` classes."""
+    size = F.sum(weight) if weight else F.count(F.lit(1))
+    rows = (df.groupBy(F.col(label).alias("label")).agg(size.alias("n"))
             .limit(max_labels + 1).collect())
     if len(rows) > max_labels:
         raise ValueError(f"label {label!r} has more than {max_labels} classes")
@@ -136,11 +140,15 @@ def chi_square(df: DataFrame, features: Sequence[str] | str, label: str,
     """
     features = [features] if isinstance(features, str) else list(features)
     df = df.where(F.col(label).isNotNull())
-    totals = label_totals(df, label, max_labels)
+    # one scan of the input: the observed cells are small (values x labels per
+    # feature) and are written to the checkpoint folder; label totals are the
+    # first feature's cells summed by label (every row has one cell per feature)
+    cells = reliable_checkpoint(contingency(df, features, label))
+    totals = label_totals(cells.where(F.col("feature") == F.lit(features[0])), "label",
+                          max_labels, weight="n")
     n_total = float(sum(totals.values()))
     n_labels = len(totals)
     col_n = F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(float(v)))])
-    cells = contingency(df, features, label)
     rows = cells.groupBy("feature", "value").agg(
         F.sum("n").alias("row_n"),
         F.sum(F.col("n").cast("double") * F.col("n") / F.element_at(col_n, F.col("label"))).alias("q"))

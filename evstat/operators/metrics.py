@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evstat.session import reliable_checkpoint
+
 
 def residuals(df: DataFrame, label: str = "label", prediction: str = "prediction",
               name: str = "residual") -> DataFrame:
@@ -64,7 +66,9 @@ def per_label_metrics(df: DataFrame, label: str = "label", prediction: str = "pr
     Labels are every value seen as a label or a prediction.  A label never
     predicted has precision 0.0, as in MLlib.
     """
-    c = confusion(df, label, prediction)
+    # the confusion table (labels x predictions rows) is written once to the
+    # checkpoint folder, so the rows are scanned once for all derived counts
+    c = reliable_checkpoint(confusion(df, label, prediction))
     total = c.agg(F.sum("n")).scalar()
     as_label = c.groupBy(F.col("label").alias("cls")).agg(
         F.sum("n").alias("support"),
