@@ -632,3 +632,42 @@ def classification_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """V4 alone: one aggregate."""
     a = metrics.accuracy(_cls_frame(spark, sf))
     return a.select(F.round("accuracy", 12).alias("accuracy"))
+
+
+# ============================================================ the event file layout
+
+_EVENT_MAP = {
+    "GlobalEventId": ("cast(event_id as int)", "cast(event_id as integer)"),
+    "Day": ("cast(date_format(ts, 'yyyyMMdd') as int)", "cast(strftime(ts, '%Y%m%d') as integer)"),
+    "MonthYear": ("cast(date_format(ts, 'yyyyMM') as int)", "cast(strftime(ts, '%Y%m') as integer)"),
+    "Year": ("year(ts)", "cast(year(ts) as integer)"),
+    "EventCode": ("event_type", "event_type"),
+    "NumMentions": ("cast(user_id as int)", "cast(user_id as integer)"),
+    "AvgTone": ("value", "value"),
+}
+_EVENT_OUT = ["GlobalEventId", "Day", "MonthYear", "Year", "EventCode", "NumMentions", "AvgTone",
+              "GoldsteinScale", "SOURCEURL"]
+
+
+def _event_sql() -> str:
+    cols = []
+    for c in _EVENT_OUT:
+        if c in _EVENT_MAP:
+            cols.append(f"{_EVENT_MAP[c][1]} as {c}")
+        else:
+            typ = {"GoldsteinScale": "double", "SOURCEURL": "varchar"}[c]
+            cols.append(f"cast(null as {typ}) as {c}")
+    return "select " + ", ".join(cols) + " from events"
+
+
+@query("scan_event_file", _event_sql())
+def scan_event_file(spark: SparkSession, sf: str) -> DataFrame:
+    """S1 on the real layout: rows laid out in the 61 tab-separated fields
+    (unmapped fields empty), read back with the fixed event schema; the
+    projection prunes the other columns from the scan."""
+    ev = table(spark, sf, "events")
+    fields = [F.expr(_EVENT_MAP[f.name][0]).cast(f.dataType).alias(f.name) if f.name in _EVENT_MAP
+              else F.lit(None).cast(f.dataType).alias(f.name) for f in io.EVENT_SCHEMA.fields]
+    path = scratch_path(spark, f"event_file/{uuid.uuid4().hex}")
+    io.write_delimited(ev.select(*fields), path)
+    return io.read_delimited(spark, path).select(*_EVENT_OUT)
