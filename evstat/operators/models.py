@@ -122,6 +122,23 @@ def check_nonnegative(df: DataFrame, features: str = "features") -> None:
         raise ValueError(f"features in {features!r} must be non-negative")
 
 
+def label_values(df: DataFrame, label: str = "label", max_labels: int = 10000) -> list:
+    """Sorted distinct labels of a training frame (at most ``max_labels``, checked)."""
+    rows = (df.select(F.col(label).cast("double").alias("l")).where(F.col("l").isNotNull())
+            .distinct().limit(max_labels + 1).collect())
+    if len(rows) > max_labels:
+        raise ValueError(f"more than {max_labels} classes in {label!r}")
+    return sorted(r["l"] for r in rows)
+
+
+def prediction_to_label(prediction: str, labels: Sequence[float]):
+    """Trap T23: MLlib naive Bayes predicts the *index* of the class among the
+    sorted distinct training labels, not the label value (labels 1..5 come
+    back as 0..4).  Map the index back to the label value."""
+    arr = F.array(*[F.lit(float(v)) for v in labels])
+    return F.element_at(arr, F.col(prediction).cast("int") + 1)
+
+
 # ---------------------------------------------------------------- scoring and reports
 
 def score(model, df: DataFrame) -> DataFrame:

@@ -328,18 +328,67 @@ def logistic(spark: SparkSession, sf: str) -> DataFrame:
     return models.score(m, src).select("scale", "discount", "is_same", "label", "prediction")
 
 
-@query("naive_bayes")
+_NB_SQL = f"""
+with base as (
+  select row_number() over () as rid, l_orderkey, l_linenumber,
+         cast(l_discount as varchar) as g,
+         coalesce(nullif(l_linestatus, 'F'), '') as a2,
+         coalesce({CODE_SQL}, {COUNTRY_SQL}) as a1,
+         {COUNTRY_SQL} as c1,
+         (l_quantity + 0) / 50 as x5,
+         case when l_extendedprice < 5000 then 1 when l_extendedprice < 20000 then 2
+              when l_extendedprice < 40000 then 3 when l_extendedprice < 70000 then 4
+              when l_extendedprice < 100000 then 5 else -1 end as tone,
+         case when l_orderkey % 10 = 0 then 'test' else 'train' end as part
+  from lineitem),
+lab as (select * from base where tone > 0),
+train as (select * from lab where part = 'train'),
+i1 as (select g as v, row_number() over (order by count(*) desc, g) - 1 as i from train group by g),
+i2 as (select a2 as v, row_number() over (order by count(*) desc, a2) - 1 as i from train group by a2),
+i3 as (select a1 as v, row_number() over (order by count(*) desc, a1) - 1 as i from train group by a1),
+i4 as (select c1 as v, row_number() over (order by count(*) desc, c1) - 1 as i from train group by c1),
+feats as (
+  select b.rid, b.l_orderkey, b.l_linenumber, b.part, cast(b.tone as double) as tone,
+         cast(i1.i as double) as x1, cast(i2.i as double) as x2, cast(i3.i as double) as x3,
+         cast(i4.i as double) as x4, b.x5
+  from lab b join i1 on b.g = i1.v join i2 on b.a2 = i2.v join i3 on b.a1 = i3.v join i4 on b.c1 = i4.v),
+cls as (select tone, count(*) as n, sum(x1) as s1, sum(x2) as s2, sum(x3) as s3, sum(x4) as s4,
+               sum(x5) as s5 from feats where part = 'train' group by tone),
+tot as (select count(*) as k, sum(n) as total from cls),
+model as (
+  select tone as cls, ln(n + 1) - ln(total + k) as pi,
+         ln(s1 + 1) - ln(s1 + s2 + s3 + s4 + s5 + 5) as t1, ln(s2 + 1) - ln(s1 + s2 + s3 + s4 + s5 + 5) as t2,
+         ln(s3 + 1) - ln(s1 + s2 + s3 + s4 + s5 + 5) as t3, ln(s4 + 1) - ln(s1 + s2 + s3 + s4 + s5 + 5) as t4,
+         ln(s5 + 1) - ln(s1 + s2 + s3 + s4 + s5 + 5) as t5
+  from cls, tot),
+scores as (
+  select f.rid, f.l_orderkey, f.l_linenumber, f.tone as label, m.cls,
+         m.pi + f.x1 * m.t1 + f.x2 * m.t2 + f.x3 * m.t3 + f.x4 * m.t4 + f.x5 * m.t5 as score
+  from feats f, model m where f.part = 'test'),
+ranked as (select *, row_number() over (partition by rid order by score desc, cls) as r from scores)
+select l_orderkey, l_linenumber, label, cls as prediction from ranked where r = 1
+"""
+
+
+@query("naive_bayes", _NB_SQL)
 def naive_bayes(spark: SparkSession, sf: str) -> DataFrame:
-    """Naive Bayes on indexed categories + 0..1 scale, trained on 9 of 10
-    hash buckets, scored on the rest (tone labels checked first, trap T8)."""
-    df = prep.with_cast(_model_frame(spark, sf), "cast(tone as tinyint)", "label")
+    """Multinomial naive Bayes on four indexed categories + a 0..1 scale.
+
+    Trained on 9 of 10 id buckets, scored on the tenth; tone labels are
+    checked (trap T8) and the predicted class index is mapped back to the
+    tone value (trap T23).  Closed form in the oracle: priors
+    ``log(n_c + 1) - log(N + K)``, likelihoods ``log(S_cj + 1) - log(S_c + D)``.
+    """
+    df = prep.with_cast(_model_frame(spark, sf), "cast(tone as double)", "label")
     df = models.valid_class_labels(prep.greater_than(df, "tone", 0))
-    split = prep.hash_split(df, "l_orderkey", 1, 10)
+    split = prep.hash_split(df, "l_orderkey", 1, 10, exact=True)
+    train, test = split.where(F.col("part") == "train"), split.where(F.col("part") == "test")
     si, cols = _indexed(df)
-    stages = [si, feat.assembler(cols), models.naive_bayes()]
-    m = models.fit_pipeline(stages, split.where(F.col("part") == "train"))
-    return models.score(m, split.where(F.col("part") == "test")).select(
-        "l_orderkey", "l_linenumber", "label", "prediction")
+    m = models.fit_pipeline([si, feat.assembler(cols), models.naive_bayes()], train)
+    labels = models.label_values(train, "label")
+    return models.score(m, test).select(
+        "l_orderkey", "l_linenumber", "label",
+        models.prediction_to_label("prediction", labels).alias("prediction"))
 
 
 @query("random_forest")

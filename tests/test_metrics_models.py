@@ -89,6 +89,18 @@ def test_closed_form_elastic_net_equals_mllib(spark):
     assert hist[-1].objective <= hist[0].objective
 
 
+def test_naive_bayes_index_maps_back_to_label(spark):
+    from pyspark.ml.linalg import Vectors
+    df = spark.createDataFrame([(Vectors.dense([5.0, 0.0]), 1.0), (Vectors.dense([4.0, 1.0]), 1.0),
+                                (Vectors.dense([0.0, 5.0]), 3.0), (Vectors.dense([1.0, 4.0]), 3.0)],
+                               ["features", "label"])
+    m = models.naive_bayes().fit(df)
+    raw = {r.prediction for r in m.transform(df).collect()}
+    assert raw == {0.0, 1.0}  # MLlib returns indices
+    fixed = m.transform(df).select("label", models.prediction_to_label("prediction", models.label_values(df)).alias("p"))
+    assert all(r.label == r.p for r in fixed.collect())
+
+
 def test_class_label_checks(spark):
     df = spark.createDataFrame([(-1.0,), (1.0,), (2.5,)], "label double")
     with pytest.raises(ValueError):
@@ -131,7 +143,8 @@ def test_classifiers_predict_known_labels(spark):
         out = q(spark, SF_SMALL)
         labels = {r.label for r in out.select("label").distinct().collect()}
         preds = {r.prediction for r in out.select("prediction").distinct().collect()}
-        assert preds <= {float(x) for x in range(0, 6)} and labels <= set(range(1, 6))
+        assert labels <= {1.0, 2.0, 3.0, 4.0, 5.0}
+        assert preds <= {1.0, 2.0, 3.0, 4.0, 5.0}  # label values, never class indices (T23)
 
 
 def test_vector_indexer_and_train_validation_split(spark):
