@@ -446,6 +446,30 @@ def linreg_mllib(spark: SparkSession, sf: str) -> DataFrame:
     return models.coefficients_table(spark, m.stages[-1])
 
 
+@query("linreg_mllib_coefficients", """
+with m as (
+  select avg(l_quantity) as mx, avg(l_extendedprice) as my,
+         stddev_pop(l_quantity) as sx, stddev_pop(l_extendedprice) as sy,
+         corr(l_quantity, l_extendedprice) as r
+  from lineitem),
+c as (select mx, my, sign(r) * greatest(abs(r) - 0.8 * (0.3 / sy), 0.0) / (1 + 0.2 * (0.3 / sy)) * sy / sx as coef
+      from m)
+select 'l_quantity' as term, round(coef, 6) as coefficient from c
+union all
+select 'intercept', round(my - coef * mx, 4) from c
+""")
+def linreg_mllib_coefficients(spark: SparkSession, sf: str) -> DataFrame:
+    """R1 + V13: MLlib's fitted terms (L-BFGS / OWL-QN), checked against the
+    closed-form optimum of the same objective."""
+    li = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
+    m = models.fit_pipeline([feat.assembler(["l_quantity"]),
+                             models.linear_regression(label="l_extendedprice")], li)
+    tab = models.coefficients_table(spark, m.stages[-1])
+    term = F.when(F.col("index") == -1, F.lit("intercept")).otherwise(F.lit("l_quantity"))
+    rounded = F.when(F.col("index") == -1, F.round("coefficient", 4)).otherwise(F.round("coefficient", 6))
+    return tab.select(term.alias("term"), rounded.alias("coefficient"))
+
+
 @query("linreg_three_features")
 def linreg_three_features(spark: SparkSession, sf: str) -> DataFrame:
     """Linear regression of the tone on the three indexed case-3 features (V13 table)."""
