@@ -53,27 +53,52 @@ def chi_input(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_extendedprice").alias("AvgTone"))
 
 
-def _chi_sql(feats: list[str]) -> str:
+def _chi_ctes(feats: list[str]) -> str:
+    """CTEs ending in ``stats(feature, statistic, dof)``: Pearson's statistic over
+    the full grid of values x labels (empty cells included), independent of the
+    library's observed-cells identity."""
     cells = "\n  union all\n  ".join(
         f"select '{f}' as feature, {f} as value, ToneLevel as label, count(*) as n from d group by 2, 3"
         for f in feats)
-    return f"""
-with {_CHI_SRC_SQL},
+    return f"""{_CHI_SRC_SQL},
 cells as (
   {cells}),
 rowt as (select feature, value, sum(n) as row_n from cells group by 1, 2),
 colt as (select feature, label, sum(n) as col_n from cells group by 1, 2),
 tot as (select feature, sum(n) as total from cells group by 1),
 grid as (select r.feature, r.value, c.label, r.row_n, c.col_n
-         from rowt r join colt c on r.feature = c.feature)
-select g.feature,
-       round(sum(power(coalesce(cells.n, 0) - g.row_n * g.col_n / t.total, 2)
-                 / (g.row_n * g.col_n / t.total)), 5) as statistic,
-       cast((count(distinct coalesce(g.value, '<null>')) - 1) * (count(distinct g.label) - 1) as integer) as dof
-from grid g join tot t on g.feature = t.feature
-left join cells on g.feature = cells.feature and g.value is not distinct from cells.value
-                and g.label = cells.label
-group by g.feature
+         from rowt r join colt c on r.feature = c.feature),
+stats as (
+  select g.feature,
+         sum(power(coalesce(cells.n, 0) - g.row_n * g.col_n / t.total, 2)
+             / (g.row_n * g.col_n / t.total)) as statistic,
+         cast((count(distinct coalesce(g.value, '<null>')) - 1) * (count(distinct g.label) - 1) as integer) as dof
+  from grid g join tot t on g.feature = t.feature
+  left join cells on g.feature = cells.feature and g.value is not distinct from cells.value
+                  and g.label = cells.label
+  group by g.feature)
+"""
+
+
+def _chi_sql(feats: list[str]) -> str:
+    return f"with {_chi_ctes(feats)}select feature, round(statistic, 5) as statistic, dof from stats"
+
+
+def _pvalue_sql(feats: list[str]) -> str:
+    """Chi-square tail in SQL: ``1 - P(dof/2, stat/2)`` with the regularised
+    lower gamma summed as a series in a recursive CTE (an independent route
+    from the library's series / continued fraction)."""
+    return f"""with recursive {_chi_ctes(feats)},
+series(feature, k, term, a, x) as (
+  select feature, 0, 1.0 / (dof / 2.0), dof / 2.0, statistic / 2.0 from stats
+  union all
+  select feature, k + 1, term * x / (a + k + 1), a, x from series
+  where k < 1000000 and (k < x or term > 1e-17))
+select s.feature, round(s.statistic, 5) as statistic, s.dof,
+       round(1.0 - exp(any_value(a) * ln(any_value(x)) - any_value(x) - lgamma(any_value(a))) * sum(term), 9)
+         as p_value
+from series join stats s on series.feature = s.feature
+group by s.feature, s.statistic, s.dof
 """
 
 
@@ -100,10 +125,12 @@ def chi_square_3(spark: SparkSession, sf: str) -> DataFrame:
     return _chi(spark, sf, ["is_same", "scale", "discount"])
 
 
-@query("chi_square_pvalues")
+@query("chi_square_pvalues", _pvalue_sql(["is_same", "scale", "discount"]))
 def chi_square_pvalues(spark: SparkSession, sf: str) -> DataFrame:
-    """T-3 with p-values (no SQL chi-square tail in the oracle: rows-only)."""
-    return chisq.chi_square(chi_input(spark, sf), ["is_same", "scale", "discount"], "ToneLevel")
+    """T-3 with p-values (chi-square tail of each statistic)."""
+    r = chisq.chi_square(chi_input(spark, sf), ["is_same", "scale", "discount"], "ToneLevel")
+    return r.select("feature", F.round("statistic", 5).alias("statistic"), "dof",
+                    F.round("p_value", 9).alias("p_value"))
 
 
 @query("contingency", """
