@@ -14,8 +14,8 @@ At-scale route (no MLlib category limit, nothing gathered):
   ``max_labels`` (MLlib's own limit is 10,000) before they are inlined
   as a map literal, so no join is needed for them;
 * ``dof = (values - 1) * (labels - 1)``; the p-value is the chi-square
-  survival function, evaluated per feature (one row each) by a small
-  vectorised helper.
+  survival function, built from Spark built-ins (a log-space power series
+  in ``aggregate``), evaluated per feature (one row each).
 
 ``chi_square_mllib`` runs MLlib's ``ChiSquareTest`` on the same input as
 a cross-check.
@@ -26,9 +26,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,57 +35,67 @@ from evstat.session import reliable_checkpoint
 MAX_LABELS = 10000
 
 
-# ---------------------------------------------------------------- chi-square tail (helper)
-
-def _gamma_p(a: float, x: float) -> float:
-    """Regularised lower incomplete gamma P(a, x) (series / continued fraction)."""
-    if x <= 0.0:
-        return 0.0
-    lg = math.lgamma(a)
-    if x < a + 1.0:
-        term = 1.0 / a
-        total = term
-        ap = a
-        for _ in range(100000):
-            ap += 1.0
-            term *= x / ap
-            total += term
-            if abs(term) < abs(total) * 1e-16:
-                break
-        return total * math.exp(-x + a * math.log(x) - lg)
-    # Lentz continued fraction for Q(a, x)
-    tiny = 1e-300
-    b = x + 1.0 - a
-    c = 1.0 / tiny
-    d = 1.0 / b
-    h = d
-    for i in range(1, 100000):
-        an = -i * (i - a)
-        b += 2.0
-        d = an * d + b
-        d = tiny if abs(d) < tiny else d
-        c = b + an / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < 1e-16:
-            break
-    q = math.exp(-x + a * math.log(x) - lg) * h
-    return 1.0 - q
-
-
-def chi2_sf(stat: float, dof: int) -> float:
-    """P(X >= stat) for X ~ chi-square(dof), computed as ``1 - CDF`` like MLlib."""
-    if stat is None or dof is None or dof <= 0:
-        return float("nan")
-    return 1.0 - _gamma_p(dof / 2.0, stat / 2.0)
-
-
-@F.pandas_udf(T.DoubleType())
-def _chi2_sf_udf(stat: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([chi2_sf(float(s), int(d)) if pd.notna(s) and pd.notna(d) else np.nan
-                      for s, d in zip(stat, dof)])
+# ---------------------------------------------------------------- chi-square tail (built-ins only)
+
+def _lgamma_half(a: Column) -> Column:
+    """``log Gamma(a)`` for ``a = dof / 2`` (a whole or half-whole number)."""
+    m = F.floor(a).cast("int")
+    whole = F.aggregate(F.sequence(F.lit(0), m - 1), F.lit(0.0),
+                        lambda acc, j: acc + F.log(F.greatest(j, F.lit(1)).cast("double")))
+    half = F.aggregate(F.sequence(F.lit(0), m), F.lit(0.5 * math.log(math.pi)),
+                       lambda acc, j: acc + F.when(j < m, F.log(j + F.lit(0.5))).otherwise(F.lit(0.0)))
+    return F.when(a == m, whole).otherwise(half)
+
+
+_TINY = 1e-300
+
+
+def chi2_sf(stat: Column, dof: Column) -> Column:
+    """P(X >= stat) for X ~ chi-square(dof), as ``1 - CDF`` (MLlib's definition).
+
+    With ``a = dof/2``, ``x = stat/2`` and ``f = x^a e^-x / Gamma(a)``:
+    for ``x < a + 1`` the CDF is ``f * sum_k x^k / (a (a+1) ... (a+k))`` (terms
+    shrink from the first); otherwise the tail ``Q = f * CF`` comes from
+    Lentz's continued fraction and ``1 - (1 - Q)`` is returned, as MLlib does.
+    Both loops are ``aggregate`` over ``sequence`` with ``O(sqrt(a))`` steps -
+    built-ins only, evaluated per feature (one row each).
+    """
+    a = dof.cast("double") / 2.0
+    x = stat.cast("double") / 2.0
+    log_f = a * F.log(x) - x - _lgamma_half(a)
+    steps = F.ceil(F.lit(12.0) * F.sqrt(a + x) + F.lit(100.0)).cast("int")
+
+    series = F.aggregate(
+        F.sequence(F.lit(1), steps),
+        F.struct((F.lit(1.0) / a).alias("t"), (F.lit(1.0) / a).alias("s")),
+        lambda acc, k: F.struct((acc["t"] * x / (a + k)).alias("t"),
+                                (acc["s"] + acc["t"] * x / (a + k)).alias("s")))
+    cdf_series = F.least(F.exp(log_f) * series["s"], F.lit(1.0))
+
+    b0 = x + 1.0 - a
+    cf = F.aggregate(
+        F.sequence(F.lit(1), steps),
+        F.struct(b0.alias("b"), F.lit(1.0 / _TINY).alias("c"), (F.lit(1.0) / b0).alias("d"),
+                 (F.lit(1.0) / b0).alias("h")),
+        lambda acc, i: _lentz(acc, i.cast("double"), a))
+    q = F.exp(log_f) * cf["h"]
+
+    return (F.when(dof.isNull() | stat.isNull(), F.lit(None).cast("double"))
+            .when(dof <= 0, F.lit(float("nan")))
+            .when(stat <= 0, F.lit(1.0))
+            .when(x < a + 1.0, F.lit(1.0) - cdf_series)
+            .otherwise(F.lit(1.0) - (F.lit(1.0) - q)))
+
+
+def _lentz(acc, i, a):
+    an = -i * (i - a)
+    b = acc["b"] + 2.0
+    d = an * acc["d"] + b
+    d = F.when(F.abs(d) < _TINY, F.lit(_TINY)).otherwise(d)
+    c = b + an / acc["c"]
+    c = F.when(F.abs(c) < _TINY, F.lit(_TINY)).otherwise(c)
+    d = F.lit(1.0) / d
+    return F.struct(b.alias("b"), c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"))
 
 
 # ---------------------------------------------------------------- contingency
@@ -156,7 +164,7 @@ def chi_square(df: DataFrame, features: Sequence[str] | str, label: str,
         (F.lit(n_total) * F.sum(F.col("q") / F.col("row_n")) - F.lit(n_total)).alias("statistic"),
         ((F.count(F.lit(1)) - 1) * F.lit(n_labels - 1)).cast("int").alias("dof"))
     if with_p_value:
-        per = per.withColumn("p_value", _chi2_sf_udf(F.col("statistic"), F.col("dof")))
+        per = per.withColumn("p_value", chi2_sf(F.col("statistic"), F.col("dof")))
     return per
 
 
