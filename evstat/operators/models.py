@@ -180,27 +180,35 @@ def load_best_of_cv(path: str) -> PipelineModel:
 SPREAD_MIN_ROWS_PER_CORE = 20000
 
 
-def training_frame(df: DataFrame) -> DataFrame:
-    """Frame for an iterative fit: spread over the cluster when worth it, persisted.
-
-    Iterative estimators pass over their input once per iteration.  At
-    scale the input already has more partitions than the cluster has
-    cores and is left alone.  When it has fewer (a few large files), one
-    counting pass decides: with at least ``SPREAD_MIN_ROWS_PER_CORE`` rows
-    per core it is spread round-robin once; smaller inputs stay put,
-    since more tasks would only add scheduling overhead to every
-    iteration.  The frame is persisted (memory, spilling to disk) so
-    iterations do not re-read the source; a lost executor's blocks are
-    recomputed from lineage.
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input with fewer partitions than cores, when it is big enough.
+
+    At scale the input already has more partitions than the cluster has
+    cores and is returned as is (no shuffle added).  Otherwise one counting
+    pass decides: with at least ``SPREAD_MIN_ROWS_PER_CORE`` rows per core
+    it is spread round-robin once; smaller inputs stay put, since more
+    tasks would only add scheduling overhead to every pass.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores and df.count() >= cores * SPREAD_MIN_ROWS_PER_CORE:
-        df = df.repartition(cores)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+        return df.repartition(cores)
+    return df
+
+
+def training_frame(df: DataFrame) -> DataFrame:
+    """Frame for an iterative fit: spread when worth it (``spread``), persisted
+    (memory, spilling to disk) so passes do not re-read the source; a lost
+    executor's blocks are recomputed from lineage."""
+    return spread(df).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit_pipeline(stages: Sequence, df: DataFrame) -> PipelineModel:
-    """M8: fit all stages in order on a persisted, well-spread training frame."""
+    """M8: fit all stages in order on a spread, persisted training frame.
+
+    The raw columns are persisted, not the assembled vectors: cached
+    vector columns are deserialised on every pass, which measured slower
+    than re-running the cheap feature transforms from cached columns.
+    """
     train = training_frame(df)
     try:
         return Pipeline(stages=list(stages)).fit(train)
