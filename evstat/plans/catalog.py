@@ -20,7 +20,7 @@ from evstat.operators import describe, histogram, metrics, prep
 from evstat.operators.quantiles import exact_quantiles
 from evstat.plans.tables import (CODE_SQL, COUNTRY_SQL, GAPS_SQL, code_col, country_col,
                                  events_with_gaps, lineitem_key, table)
-from evstat.session import scratch_path
+from evstat.session import reliable_checkpoint, scratch_path
 from evstat.sources import io
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -671,3 +671,66 @@ def scan_event_file(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, f"event_file/{uuid.uuid4().hex}")
     io.write_delimited(ev.select(*fields), path)
     return io.read_delimited(spark, path).select(*_EVENT_OUT)
+
+
+# ============================================================ the import job as one flow
+
+TONE_FLOW_SQL = f"""
+with q as (select quantile_cont(l_extendedprice, 0.25) as q25, quantile_cont(l_extendedprice, 0.75) as q75
+           from lineitem where l_linestatus is not null and l_quantity is not null),
+prepared as (
+  select l_orderkey, l_linenumber, l_extendedprice as AvgTone, l_quantity as GoldsteinScale,
+         l_quantity as scale,
+         coalesce({CODE_SQL}, {COUNTRY_SQL}) as Actor1Code,
+         coalesce({CODE_SQL} = {COUNTRY_SQL}, false) as is_same,
+         case when l_extendedprice >= q75 then 'positive' when l_extendedprice <= q25 then 'negative'
+              else 'neutral' end as ToneLevel
+  from lineitem, q
+  where l_linestatus is not null and l_quantity is not null),
+kept as (
+  select * from prepared
+  order by l_orderkey, l_linenumber, AvgTone, GoldsteinScale, Actor1Code, is_same
+  limit 50000)
+select 'count' as summary, round(cast(count(AvgTone) as double), 6) as AvgTone,
+       round(cast(count(GoldsteinScale) as double), 6) as GoldsteinScale,
+       round(cast(count(is_same) as double), 6) as is_same,
+       round(cast(count(ToneLevel) as double), 6) as ToneLevel from kept
+union all select 'mean', round(avg(AvgTone), 6), round(avg(GoldsteinScale), 6),
+       round(avg(cast(is_same as int)), 6), round(avg(try_cast(ToneLevel as double)), 6) from kept
+union all select 'stddev', round(stddev_samp(AvgTone), 6), round(stddev_samp(GoldsteinScale), 6),
+       round(stddev_samp(cast(is_same as int)), 6), round(stddev_samp(try_cast(ToneLevel as double)), 6) from kept
+union all select '25%', round(quantile_cont(AvgTone, 0.25), 6), round(quantile_cont(GoldsteinScale, 0.25), 6),
+       round(quantile_cont(cast(is_same as int), 0.25), 6),
+       round(quantile_cont(try_cast(ToneLevel as double), 0.25), 6) from kept
+union all select '75%', round(quantile_cont(AvgTone, 0.75), 6), round(quantile_cont(GoldsteinScale, 0.75), 6),
+       round(quantile_cont(cast(is_same as int), 0.75), 6),
+       round(quantile_cont(try_cast(ToneLevel as double), 0.75), 6) from kept
+"""
+
+
+@query("tone_level_summary", TONE_FLOW_SQL)
+def tone_level_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The import job end to end: presence filter, one ``withColumns`` of fill,
+    flag and a three-way tone level whose cuts are exact quartiles of an
+    earlier pass, an ordered 50,000-row limit, then the selected summary."""
+    li = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_linestatus",
+        code_col().alias("Actor1Code"), country_col().alias("Actor1CountryCode"))
+    li = prep.keep_present(li, ["l_linestatus", "l_quantity"])
+    q25, q75 = exact_quantiles(li, "l_extendedprice", [0.25, 0.75])
+    fields = prep.add_fields(li, {
+        "AvgTone": F.col("l_extendedprice"),
+        "GoldsteinScale": F.col("l_quantity"),
+        "scale": F.col("l_quantity"),
+        "Actor1Code": X.fill_from("Actor1Code", "Actor1CountryCode"),
+        "is_same": X.same_flag("Actor1Code", "Actor1CountryCode"),
+        "ToneLevel": X.bin_three_way("l_extendedprice", q75, q25),
+    })
+    kept = prep.ordered_limit(fields, 50000, ["l_orderkey", "l_linenumber", "AvgTone", "GoldsteinScale",
+                                              "Actor1Code", "is_same"])
+    # the kept rows (at most the limit) are read by several summary passes:
+    # write them once to the checkpoint folder instead of re-sorting per pass
+    kept = reliable_checkpoint(kept.select("AvgTone", "GoldsteinScale", "is_same", "ToneLevel"))
+    cols = ("AvgTone", "GoldsteinScale", "is_same", "ToneLevel")
+    s = describe.summary_exact(kept, list(cols), ["count", "mean", "stddev", "25%", "75%"])
+    return s.select("summary", *[F.round(c, 6).alias(c) for c in cols])
