@@ -237,11 +237,9 @@ select case when l_orderkey % 43 = 6 then 'test' else 'train' end as part,
 from lineitem where l_orderkey % 43 in (2, 20, 6) group by 1
 """)
 def shard_split(spark: SparkSession, sf: str) -> DataFrame:
-    """F14 + F4 + F5: training shards 2 and 20, test shard 6."""
+    """F14 + F4: training shards 2 and 20, test shard 6, tagged in one scan."""
     li = table(spark, sf, "lineitem").select("l_quantity", lineitem_key().alias("key"))
-    train, test = prep.shard_split(li, [2, 20], [6])
-    test = prep.equals(test, "key", 6)
-    out = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    out = prep.label_shards(li, {"train": [2, 20], "test": [6]})
     return out.groupBy("part").agg(F.count(F.lit(1)).alias("n"),
                                    F.round(F.avg("l_quantity"), 9).alias("avg_qty"))
 

@@ -103,3 +103,14 @@ def test_all_of_and_project_exclude(spark):
     assert [r._id for r in kept.collect()] == [1]
     out = prep.project(df, ["_id", "x", "s"], {"x2": F.col("x") * 2}, exclude=["_id"])
     assert out.columns == ["x", "s", "x2"]
+
+
+def test_shard_split_and_label_shards_agree(spark):
+    df = spark.range(430).withColumn("key", F.col("id") % 43)
+    train, test = prep.shard_split(df, [2, 20], [6])
+    tagged = prep.label_shards(df, {"train": [2, 20], "test": [6]})
+    assert tagged.where("part = 'train'").drop("part").exceptAll(train).count() == 0
+    assert tagged.where("part = 'test'").count() == test.count() == 10
+    assert prep.equals(test, "key", 6).count() == 10
+    plan = tagged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 1  # one pass over the input
