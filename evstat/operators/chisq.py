@@ -10,9 +10,10 @@ At-scale route (no MLlib category limit, nothing gathered):
   ``N`` the statistic is ``sum((o - e)^2 / e) = N * sum(o^2 / (r c)) - N``,
   a sum over the *observed* cells only - empty cells never have to be
   generated, so there is no cross product of values and labels;
-* label totals are one row per class; their number is checked against
-  ``max_labels`` (MLlib's own limit is 10,000) before they are inlined
-  as a map literal, so no join is needed for them;
+* label totals are one row per class; up to ``max_labels`` classes
+  (MLlib's own limit is 10,000, checked by reading at most one more row)
+  they are inlined as a map literal, so no join is needed; beyond that
+  they stay a table joined on the label;
 * ``dof = (values - 1) * (labels - 1)``; the p-value is the chi-square
   survival function, built from Spark built-ins (a log-space power series
   in ``aggregate``), evaluated per feature (one row each).
@@ -125,13 +126,14 @@ def distinct_levels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def label_totals(df: DataFrame, label: str, max_labels: int = MAX_LABELS,
-                 weight: str | None = None) -> dict:
-    """Rows (or summed ``weight``) per label class; raises above ``max_labels`` classes."""
+                 weight: str | None = None) -> dict | None:
+    """Rows (or summed ``weight``) per label class, or ``None`` when there are
+    more than ``max_labels`` classes (at most ``max_labels + 1`` rows are read)."""
     size = F.sum(weight) if weight else F.count(F.lit(1))
     rows = (df.groupBy(F.col(label).alias("label")).agg(size.alias("n"))
             .limit(max_labels + 1).collect())
     if len(rows) > max_labels:
-        raise ValueError(f"label {label!r} has more than {max_labels} classes")
+        return None
     return {r["label"]: int(r["n"]) for r in rows}
 
 
@@ -151,14 +153,23 @@ def chi_square(df: DataFrame, features: Sequence[str] | str, label: str,
     # feature) and are written to the checkpoint folder; label totals are the
     # first feature's cells summed by label (every row has one cell per feature)
     cells = reliable_checkpoint(contingency(df, features, label))
-    totals = label_totals(cells.where(F.col("feature") == F.lit(features[0])), "label",
-                          max_labels, weight="n")
-    n_total = float(sum(totals.values()))
-    n_labels = len(totals)
-    col_n = F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(float(v)))])
-    rows = cells.groupBy("feature", "value").agg(
+    first = cells.where(F.col("feature") == F.lit(features[0]))
+    totals = label_totals(first, "label", max_labels, weight="n")
+    if totals is not None:
+        # few classes: label totals inlined as a map literal, no join
+        n_total = float(sum(totals.values()))
+        n_labels = len(totals)
+        col_n = F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(float(v)))])
+        with_col = cells.withColumn("col_n", F.element_at(col_n, F.col("label")))
+    else:
+        # many classes: label totals as a table joined on the label (AQE sizes the join)
+        col_t = first.groupBy("label").agg(F.sum("n").cast("double").alias("col_n"))
+        agg = col_t.agg(F.sum("col_n"), F.count(F.lit(1))).first()
+        n_total, n_labels = float(agg[0]), int(agg[1])
+        with_col = cells.join(col_t, "label")
+    rows = with_col.groupBy("feature", "value").agg(
         F.sum("n").alias("row_n"),
-        F.sum(F.col("n").cast("double") * F.col("n") / F.element_at(col_n, F.col("label"))).alias("q"))
+        F.sum(F.col("n").cast("double") * F.col("n") / F.col("col_n")).alias("q"))
     per = rows.groupBy("feature").agg(
         (F.lit(n_total) * F.sum(F.col("q") / F.col("row_n")) - F.lit(n_total)).alias("statistic"),
         ((F.count(F.lit(1)) - 1) * F.lit(n_labels - 1)).cast("int").alias("dof"))

@@ -116,7 +116,11 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFr
     offsets = sizes.withColumn(
         "_offset", F.coalesce(F.sum("_size").over(
             Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (local.join(F.broadcast(offsets.select("_pid", "_offset")), "_pid")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    offsets = offsets.select("_pid", "_offset")
+    if parts <= 100_000:  # one row per partition: a known, small bound
+        offsets = F.broadcast(offsets)
+    return (local.join(offsets, "_pid")
             .withColumn(name, F.col("_offset") + F.col("_local"))
             .drop("_pid", "_local", "_offset"))
 

@@ -86,6 +86,15 @@ def _spine(spark: SparkSession, e: list[float]) -> DataFrame:
         F.element_at(arr, (F.col("id") + 1).cast("int")).alias("bin_start"))
 
 
+BROADCAST_MAX_BINS = 100_000
+
+
+def _bounded(counts: DataFrame, n_bins: int) -> DataFrame:
+    """Broadcast the per-bin counts only when their bound (the bin count) is
+    small; beyond it the join is left to AQE's runtime size check."""
+    return F.broadcast(counts) if n_bins <= BROADCAST_MAX_BINS else counts
+
+
 def histogram(df: DataFrame, col: str, edges: Sequence[float]) -> DataFrame:
     """``bin_start double, n bigint``, one row per bin, empty bins as 0."""
     e = _check(edges)
@@ -93,7 +102,7 @@ def histogram(df: DataFrame, col: str, edges: Sequence[float]) -> DataFrame:
               .where(F.col("bin").isNotNull())
               .groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
     spine = _spine(df.sparkSession, e)
-    return (spine.join(F.broadcast(counts), "bin", "left")
+    return (spine.join(_bounded(counts, len(e) - 1), "bin", "left")
             .select("bin_start", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
 
 
@@ -111,7 +120,7 @@ def histograms(df: DataFrame, cols: Sequence[str], edges: Sequence[float]) -> Da
               .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n")))
     spine = _spine(df.sparkSession, e).withColumn(
         "column", F.explode(F.array(*[F.lit(c) for c in cols])))
-    return (spine.join(F.broadcast(counts), ["column", "bin"], "left")
+    return (spine.join(_bounded(counts, (len(e) - 1) * len(cols)), ["column", "bin"], "left")
             .select("column", "bin_start", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
 
 

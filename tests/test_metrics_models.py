@@ -108,10 +108,15 @@ def test_chi2_tail_against_reference(spark):
     assert got[7] == 0.0
 
 
-def test_label_limit(spark):
-    df = spark.range(20).select(F.col("id").alias("label"), F.lit("a").alias("f"))
-    with pytest.raises(ValueError):
-        chisq.chi_square(df, ["f"], "label", max_labels=10)
+def test_many_labels_take_the_join_path(spark):
+    df = spark.range(400).select((F.col("id") % 20).alias("label"), (F.col("id") % 7).cast("string").alias("f"),
+                                 (F.col("id") % 3).cast("string").alias("g"))
+    inline = {r.feature: r for r in chisq.chi_square(df, ["f", "g"], "label").collect()}
+    joined = {r.feature: r for r in chisq.chi_square(df, ["f", "g"], "label", max_labels=10).collect()}
+    for f in ("f", "g"):
+        assert joined[f].dof == inline[f].dof == (7 - 1 if f == "f" else 3 - 1) * 19
+        assert math.isclose(joined[f].statistic, inline[f].statistic, rel_tol=1e-12, abs_tol=1e-9)
+        assert math.isclose(joined[f].p_value, inline[f].p_value, rel_tol=1e-9, abs_tol=1e-12)
 
 
 def test_closed_form_elastic_net_equals_mllib(spark):
