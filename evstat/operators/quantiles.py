@@ -99,8 +99,10 @@ def select_ranks(vals: DataFrame, wanted: dict[int, Sequence[int]],
         # targets: (bracket id, rank offset inside the bracket)
         targets = [(bid[(c, lo, hi)], r - below, c, r)
                    for (c, r), (lo, hi, below) in open_.items()]
-        tdf = vals.sparkSession.createDataFrame(
-            [(t, off, c, r) for t, off, c, r in targets], "t int, off long, col int, rank long")
+        tdf = vals.sparkSession.range(1).select(F.inline(F.array(*[
+            F.struct(F.lit(t).alias("t"), F.lit(off).cast("long").alias("off"),
+                     F.lit(c).alias("col"), F.lit(r).cast("long").alias("rank"))
+            for t, off, c, r in targets])))  # a literal table: no Python-side rows
         w = Window.partitionBy("t").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         cum = counts.withColumn("upto", F.sum("cnt").over(w))
         picked = (cum.join(tdf, "t")
