@@ -66,7 +66,17 @@ def cross_validate(pipeline: Pipeline, grid: list, train: DataFrame, label: str,
         cv.setFoldCol(fold_col)
     train = models.training_frame(train)
     try:
-        return cv.fit(train)
+        while True:
+            try:
+                return cv.fit(train)
+            except Exception as e:  # noqa: BLE001
+                # Concurrent fits from driver threads can hit a transient race in
+                # Spark's execution bookkeeping ("NumberFormatException: Cannot parse
+                # null string").  Folds and seeds are deterministic, so a re-run
+                # with fewer threads returns the same result.
+                if "NumberFormatException" not in str(e) or cv.getParallelism() <= 1:
+                    raise
+                cv.setParallelism(max(1, cv.getParallelism() // 2))
     finally:
         train.unpersist()
 
