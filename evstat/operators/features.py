@@ -22,6 +22,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evstat.session import reliable_checkpoint
+
 
 def string_indexer(cols: Sequence[str] | str, outs: Sequence[str] | str | None = None,
                    handle_invalid: str = "error", order: str = "frequencyDesc") -> StringIndexer:
@@ -134,6 +136,9 @@ def string_index_table(df: DataFrame, col: str, name: str = "idx") -> DataFrame:
     """
     counts = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n")) \
         .where(F.col("value").isNotNull())
+    # the label table is read twice by the rank (rows and partition sizes):
+    # write it once so the input is scanned once
+    counts = reliable_checkpoint(counts)
     out = ranked(counts, [F.col("n").desc(), F.col("value")], name)
     return out.withColumn(name, F.col(name).cast("double")).select("value", "n", name)
 
