@@ -473,22 +473,22 @@ def linreg_mllib(spark: SparkSession, sf: str) -> DataFrame:
     return models.coefficients_table(spark, m.stages[-1])
 
 
-@query("linreg_mllib_coefficients", """
+def _mllib_terms_sql(where: str = "") -> str:
+    return f"""
 with m as (
   select avg(l_quantity) as mx, avg(l_extendedprice) as my,
          stddev_pop(l_quantity) as sx, stddev_pop(l_extendedprice) as sy,
          corr(l_quantity, l_extendedprice) as r
-  from lineitem),
+  from lineitem {where}),
 c as (select mx, my, sign(r) * greatest(abs(r) - 0.8 * (0.3 / sy), 0.0) / (1 + 0.2 * (0.3 / sy)) * sy / sx as coef
       from m)
 select 'l_quantity' as term, round(coef, 6) as coefficient from c
 union all
 select 'intercept', round(my - coef * mx, 4) from c
-""")
-def linreg_mllib_coefficients(spark: SparkSession, sf: str) -> DataFrame:
-    """R1 + V13: MLlib's fitted terms (L-BFGS / OWL-QN), checked against the
-    closed-form optimum of the same objective."""
-    li = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
+"""
+
+
+def _mllib_terms(spark: SparkSession, li: DataFrame) -> DataFrame:
     m = models.fit_pipeline([feat.assembler(["l_quantity"]),
                              models.linear_regression(label="l_extendedprice")], li)
     tab = models.coefficients_table(spark, m.stages[-1])
@@ -497,6 +497,21 @@ def linreg_mllib_coefficients(spark: SparkSession, sf: str) -> DataFrame:
     return tab.select(term.alias("term"), rounded.alias("coefficient"))
 
 
+@query("linreg_mllib_coefficients", _mllib_terms_sql())
+def linreg_mllib_coefficients(spark: SparkSession, sf: str) -> DataFrame:
+    """R1 + V13: MLlib's fitted terms (L-BFGS / OWL-QN), checked against the
+    closed-form optimum of the same objective."""
+    return _mllib_terms(spark, table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice"))
+
+
+@query("linreg_without_category_mllib", _mllib_terms_sql("where l_returnflag <> 'N'"))
+def linreg_without_category_mllib(spark: SparkSession, sf: str) -> DataFrame:
+    """R3 with MLlib: the same fit without the dominant category, checked
+    against the closed form on the kept rows."""
+    li = prep.not_equal(table(spark, sf, "lineitem"), "l_returnflag", "N")
+    return _mllib_terms(spark, li.select("l_quantity", "l_extendedprice"))
+
+
 @query("linreg_three_features")
 def linreg_three_features(spark: SparkSession, sf: str) -> DataFrame:
     """Linear regression of the tone on the three indexed case-3 features (V13 table)."""
