@@ -10,7 +10,9 @@ for any number of columns and ranks at once:
 2. each round cuts every open bracket ``[lo, hi]`` (one per column and
    rank) into ``B`` equal-width buckets and runs **one** grouped
    aggregate over the table - map-side partial counts / min / max per
-   bucket, at most ``targets x B`` rows after the shuffle;
+   bucket, at most ``targets x B`` rows after the shuffle.  The brackets
+   of a column are disjoint or identical, so a plain ``CASE`` assigns each
+   value to its bracket and the scan stays in generated code;
 3. a running sum over each target's buckets (a window over at most ``B``
    rows per target) picks the bucket that holds the wanted rank; only
    that one row per target returns to the driver and becomes the next
@@ -85,16 +87,25 @@ def select_ranks(vals: DataFrame, wanted: dict[int, Sequence[int]],
         # one bracket per distinct (column, lo, hi); targets sharing it share the counts
         brackets = sorted(set((c, lo, hi) for (c, _), (lo, hi, _) in open_.items()))
         bid = {b: i for i, b in enumerate(brackets)}
-        arr = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(c).alias("c"),
-                                 F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
-                        for i, (c, lo, hi) in enumerate(brackets)])
+        # Within a column the open brackets are disjoint or identical (they are
+        # buckets of the same monotone bucketing, duplicates merged), so each
+        # value lies in at most one: a CASE picks it, inside generated code.
         v = F.col("v")
-        hit = vals.select(v, F.explode(F.filter(
-            arr, lambda s: (s["c"] == F.col("c")) & (v >= s["lo"]) & (v <= s["hi"]))).alias("s"))
-        width = F.col("s.hi") - F.col("s.lo")
-        bucket = F.least(F.floor((v - F.col("s.lo")) / width * F.lit(float(buckets))),
+        t_expr = lo_expr = hi_expr = None
+        for i, (c, lo, hi) in enumerate(brackets):
+            cond = (F.col("c") == F.lit(c)) & (v >= F.lit(lo)) & (v <= F.lit(hi))
+            if t_expr is None:
+                t_expr, lo_expr, hi_expr = (F.when(cond, F.lit(i)), F.when(cond, F.lit(lo)),
+                                            F.when(cond, F.lit(hi)))
+            else:
+                t_expr, lo_expr, hi_expr = (t_expr.when(cond, F.lit(i)), lo_expr.when(cond, F.lit(lo)),
+                                            hi_expr.when(cond, F.lit(hi)))
+        hit = (vals.select(v, t_expr.alias("t"), lo_expr.alias("lo"), hi_expr.alias("hi"))
+               .where(F.col("t").isNotNull()))
+        width = F.col("hi") - F.col("lo")
+        bucket = F.least(F.floor((v - F.col("lo")) / width * F.lit(float(buckets))),
                          F.lit(buckets - 1))
-        counts = hit.groupBy(F.col("s.t").alias("t"), bucket.alias("b")).agg(
+        counts = hit.groupBy(F.col("t"), bucket.alias("b")).agg(
             F.count(F.lit(1)).alias("cnt"), F.min(v).alias("mn"), F.max(v).alias("mx"))
         # targets: (bracket id, rank offset inside the bracket)
         targets = [(bid[(c, lo, hi)], r - below, c, r)

@@ -105,3 +105,21 @@ def test_uneven_edges_match_rdd_histogram(spark):
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     ours = [r.n for r in histogram.histogram(df, "x", edges).orderBy("bin_start").collect()]
     assert ours == df.rdd.map(lambda r: r.x).histogram(edges)[1]
+
+
+def test_many_ranks_many_columns_match_numpy(spark):
+    rnd = random.Random(21)
+    n = 2500
+    cols = {
+        "a": [rnd.gauss(0, 1) for _ in range(n)],
+        "b": [float(rnd.randint(0, 6)) for _ in range(n)],              # heavy ties
+        "c": [rnd.expovariate(0.01) ** 2 for _ in range(n)],             # long tail
+        "d": [1e-9 * rnd.random() + (5.0 if i % 3 else -5.0) for i in range(n)],  # two tight clusters
+    }
+    df = spark.createDataFrame(list(zip(*cols.values())), "a double, b double, c double, d double")
+    probs = [i / 20 for i in range(21)]
+    got = exact_quantiles_multi(df, list(cols), probs)
+    for c, xs in cols.items():
+        want = np.quantile(np.array(xs), probs, method="linear")
+        for g, w in zip(got[c], want):
+            assert math.isclose(g, w, rel_tol=1e-12, abs_tol=1e-15), (c, g, w)
