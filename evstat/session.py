@@ -7,21 +7,30 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_BASE: dict[int, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder used to cut lineage.
+    """Folder used to cut lineage (checkpoints and intermediate tables).
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is
-    always honoured.  Only when it is unset (local tests) a scratch
-    folder is made and registered with the session.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder; it is read
+    from the session and always honoured.  Only when it is unset (local
+    tests) a scratch folder is made once per SparkContext and registered
+    with ``setCheckpointDir`` - the session setting itself is never
+    modified (Spark rejects runtime changes to it anyway).
     """
+    sc = spark.sparkContext
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
-        spark.sparkContext.setCheckpointDir(conf)
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(conf)
         return conf
-    local = tempfile.mkdtemp(prefix="evstat-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    key = id(sc)
+    if key not in _LOCAL_BASE:
+        _LOCAL_BASE[key] = tempfile.mkdtemp(prefix="evstat-ckpt-")
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(_LOCAL_BASE[key])
+    return _LOCAL_BASE[key]
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
