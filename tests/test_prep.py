@@ -114,3 +114,9 @@ def test_shard_split_and_label_shards_agree(spark):
     assert prep.equals(test, "key", 6).count() == 10
     plan = tagged._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Range (") == 1  # one pass over the input
+
+
+def test_approximate_quantile_cuts(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(1, 1001)], "x double")
+    r = prep.with_quantile_cuts(df, "x", [0.25, 0.75], ["q25", "q75"], exact=False).first()
+    assert abs(r["q25"] - 250.75) <= 1.0 and abs(r["q75"] - 750.25) <= 1.0  # GK rank error <= n / 10000
