@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from evstat.llm.common import materialise, mix
+from evstat.llm.common import materialise, mix, rows_per_batch
 
 TABLES = 3
 PROJECTIONS = 5
@@ -207,7 +207,7 @@ def nearest(index: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector
     kind = "<f4" if index.schema[vector].dataType == queries.schema[vector].dataType == ArrayType(FloatType()) else "<f8"
     blocks = materialise(pick(index).mapInArrow(_index(kind), _BLOCKS), "ann-index")
     asked = materialise(pick(queries).mapInArrow(_probe(probes, kind), _BLOCKS), "ann-queries")
-    found = materialise(_meet(asked, blocks, ["dim", "tab", "bucket"], k, kind), "ann-found")
+    found = _meet(asked, blocks, ["dim", "tab", "bucket"], k, kind)
     # queries whose probes met fewer than k candidates meet all blocks of one table
     enough = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= k)
     first = asked.where("tab = 0").select("dim", F.explode(F.array_distinct("ids")).alias("query_id")).distinct()
@@ -225,5 +225,6 @@ def nearest(index: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector
 
 def _meet(asked: DataFrame, blocks: DataFrame, on: list[str], k: int, kind: str) -> DataFrame:
     q = asked.select(*on, F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
-    return (q.join(blocks.select(*on, "ids", "vectors"), on)
-            .select("dim", "query_ids", "query_vectors", "ids", "vectors").mapInArrow(_rank(k, kind), _FOUND))
+    met = q.join(blocks.select(*on, "ids", "vectors"), on).select("dim", "query_ids", "query_vectors", "ids", "vectors")
+    with rows_per_batch(asked.sparkSession, 32):
+        return materialise(met.mapInArrow(_rank(k, kind), _FOUND), "ann-found")

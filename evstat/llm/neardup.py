@@ -16,7 +16,9 @@ linked.  Classes are the connected components of the links.
    round, only buckets that still hold different components go on: first
    with a random leader each, at last with all members of different
    components, so that no candidate pair is left undecided unless its texts
-   are already in one class.
+   are already in one class.  In that last round the pairs of small buckets
+   are listed; large buckets are dealt out in blocks, a block meets a block in
+   one row, and only links leave the task.
 4. Candidates are compared exactly: their texts are read again, and only
    theirs are shuffled.
 
@@ -36,12 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evstat.llm.common import RangeHash, content_key, materialise, mix, text_slices, window_hashes, word_bounds
+from evstat.llm.common import RangeHash, content_key, materialise, mix, rows_per_batch, text_slices, window_hashes, word_bounds
 from evstat.llm.components import components
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS = 40
+LISTED = 16   # members of a bucket up to which its open pairs are listed
+BLOCK = 64    # members of a block
 ROWS = 7      # coordinates a band: a pair at 0.8 shares no band with probability (1 - 0.8**7)**40 < 1e-4
 
 
@@ -153,6 +157,59 @@ def _linked(similarity: float):
     return run
 
 
+def _shared(bags: list[np.ndarray], columns: int = 20_000) -> np.ndarray:
+    """Number of common units of every two bags, by matrix products over slices of the units."""
+    flat = np.concatenate(bags)
+    _, unit, held = np.unique(flat, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    twice = held[unit] > 1                       # a unit of one bag alone is shared by none
+    _, unit = np.unique(unit[twice], return_inverse=True)
+    row = row[twice]
+    out = np.zeros((len(bags), len(bags)), np.float64)
+    for lo in range(0, int(unit.max(initial=-1)) + 1, columns):
+        pick = (unit >= lo) & (unit < lo + columns)
+        m = np.zeros((len(bags), min(columns, int(unit.max()) + 1 - lo)), np.float32)
+        np.add.at(m, (row[pick], unit[pick] - lo), 1)
+        out += m @ m.T
+    return out
+
+
+def _block_links(similarity: float):
+    """Links between members of different components of two blocks, one for each member
+    and component."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for x, y, same in zip(*(batch.column(i) for i in range(3)), strict=True):
+                members = x.as_py() + ([] if same.as_py() else y.as_py())
+                bags = [np.frombuffer(m["bag"], "<u4") for m in members]
+                comp = np.array([m["comp"] for m in members])
+                both, size = _shared(bags), np.array([len(b) for b in bags], float)
+                ok = (both >= similarity * (size[:, None] + size - both) - 1e-9) & (comp[:, None] != comp)
+                seen = set()
+                for i, j in zip(*np.nonzero(ok), strict=True):
+                    if (i, comp[j]) not in seen:
+                        seen.add((i, comp[j]))
+                        found.append((members[i]["uid"], members[j]["uid"]))
+            yield pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())],
+                                             names=["a", "b"])
+    return run
+
+
+def _verify_blocks(members: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """``bucket, n, uid, comp`` of large buckets to links: all their open pairs are decided
+    inside tasks that each get two blocks of a bucket."""
+    block = F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / BLOCK)).alias("block")
+    packed = (members.select("bucket", block, "uid", "comp").join(bags, "uid").groupBy("bucket", "block")
+              .agg(F.collect_list(F.struct("uid", "comp", "bag")).alias("m")))
+    packed = materialise(packed, "dup-blocks")
+    other = packed.select(F.col("bucket").alias("bucket2"), F.col("block").alias("block2"), F.col("m").alias("m2"))
+    met = (packed.join(other, (F.col("bucket") == F.col("bucket2")) & (F.col("block") <= F.col("block2")))
+           .select("m", "m2", (F.col("block") == F.col("block2")).alias("same")))
+    with rows_per_batch(members.sparkSession, 16):
+        return materialise(met.mapInArrow(_block_links(similarity), "a long, b long").distinct(), "dup-links")
+
+
 def _bags_of(members: DataFrame, texts: DataFrame, contents: DataFrame, width: int) -> DataFrame:
     """``uid, bag`` of the contents in ``members``; only their texts are shuffled."""
     wanted = (members.select("uid").distinct()
@@ -197,14 +254,18 @@ def content_classes(texts: DataFrame, *, similarity: float = SIMILARITY, width:
                  .where("lo < hi"))
         open_ = materialise(now.join(mixed.select("bucket", "lead", "lead_comp"), "bucket"), "dup-open")
         if last:
-            other = open_.select(F.col("bucket").alias("bucket2"), F.col("uid").alias("lead2"), F.col("comp").alias("comp2"))
-            pairs = (open_.join(other, (F.col("bucket") == F.col("bucket2")) & (F.col("comp") < F.col("comp2")))
+            held = open_.groupBy("bucket").agg(F.count("*").alias("n"))
+            sized = open_.join(held, "bucket")
+            large = sized.where(F.col("n") > LISTED)
+            if large.limit(1).count():
+                links = links.union(_verify_blocks(large, bags, similarity))
+            small = sized.where(F.col("n") <= LISTED)
+            other = small.select(F.col("bucket").alias("bucket2"), F.col("uid").alias("lead2"), F.col("comp").alias("comp2"))
+            pairs = (small.join(other, (F.col("bucket") == F.col("bucket2")) & (F.col("comp") < F.col("comp2")))
                      .select(*pair("lead2", "uid")))
         else:
             pairs = open_.where("comp <> lead_comp").select(*pair("lead", "uid"))
         pairs = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "dup-tried")
-        if pairs.limit(1).count() == 0:
-            continue
         links = links.union(_verify(pairs, bags, similarity))
         tried = tried.union(pairs)
         label = components(links)
