@@ -95,7 +95,7 @@ _POW: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POW.get("p")
     if have is None or len(have) < n:
-        size = max(n, 2 * CHUNK_BYTES)
+        size = 1 << max(16, n.bit_length())
         for name, factor in (("p", _BASE), ("i", pow(_BASE, -1, 2 ** 64))):
             powers = np.full(size + 1, factor, np.uint64)
             powers[0] = 1

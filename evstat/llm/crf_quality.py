@@ -159,9 +159,10 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     model = Model(empty=float((labels.sum() + 0.5) / (len(labels) + 1)) if len(labels) else 0.5)
     if len(set(labels.tolist())) < 2:
         return model
-    blob = [t.encode() for t in texts]
-    data = np.frombuffer(b"".join(blob), np.uint8)
-    x, length, first = line_features(data, np.concatenate([[0], np.cumsum([len(b) for b in blob])]))
+    # features of a slice at a time, so the driver never holds byte sums of the whole sample
+    parts = [line_features(data, offsets) for _, _, data, offsets in text_slices(pa.array(texts, pa.string()), 500_000)]
+    x, length = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))]).astype(np.int64)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     truth = labels[doc]
     y = truth.copy()
