@@ -28,10 +28,12 @@ def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "p
     of a model that Spark treats as non-deterministic).  The centred sums
     come from Spark's numerically stable moments:
     ``SST = n var_pop(y)``, ``SSR = n (var_pop(p) + (mean_p - mean_y)^2)``.
+    Rows without a label or a prediction are not scored and not counted; ``r2``
+    is null where the label is constant.
     """
     y = F.col(label).cast("double")
     p = F.col(prediction).cast("double")
-    agg = df.agg(
+    agg = df.where(y.isNotNull() & p.isNotNull()).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum((p - y) * (p - y)).alias("sse"),
         F.sum(F.abs(p - y)).alias("sae"),
@@ -41,10 +43,10 @@ def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "p
     ev = F.col("vp") + (F.col("mp") - F.col("my")) * (F.col("mp") - F.col("my"))
     cols = [
         F.col("n"),
-        F.sqrt(F.col("sse") / F.col("n")).alias("rmse"),
-        (F.col("sse") / F.col("n")).alias("mse"),
-        (F.col("sae") / F.col("n")).alias("mae"),
-        (F.lit(1.0) - F.col("sse") / (F.col("vy") * F.col("n"))).alias("r2"),
+        F.sqrt(F.try_divide("sse", "n")).alias("rmse"),
+        F.try_divide("sse", "n").alias("mse"),
+        F.try_divide("sae", "n").alias("mae"),
+        (F.lit(1.0) - F.try_divide(F.col("sse"), F.col("vy") * F.col("n"))).alias("r2"),
         ev.alias("explained_variance"),
     ]
     if num_features is not None:
@@ -64,11 +66,13 @@ def per_label_metrics(df: DataFrame, label: str = "label", prediction: str = "pr
     """V5-V9: per label ``tp, fp, fn, tn``, rates, precision, recall, F1.
 
     Labels are every value seen as a label or a prediction.  A label never
-    predicted has precision 0.0, as in MLlib.
+    predicted has precision 0.0, as in MLlib.  Rows without a label or a
+    prediction are not scored.
     """
     # the confusion table (labels x predictions rows) is written once to the
     # checkpoint folder, so the rows are scanned once for all derived counts
-    c = reliable_checkpoint(confusion(df, label, prediction))
+    scored = df.where(F.col(label).isNotNull() & F.col(prediction).isNotNull())
+    c = reliable_checkpoint(confusion(scored, label, prediction))
     total = c.agg(F.sum("n")).scalar()
     as_label = c.groupBy(F.col("label").alias("cls")).agg(
         F.sum("n").alias("support"),

@@ -177,39 +177,31 @@ def load_best_of_cv(path: str) -> PipelineModel:
     return CrossValidatorModel.load(path).bestModel
 
 
-SPREAD_MIN_ROWS_PER_CORE = 20000
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an input with fewer partitions than cores, when it is big enough.
-
-    At scale the input already has more partitions than the cluster has
-    cores and is returned as is (no shuffle added).  Otherwise one counting
-    pass decides: with at least ``SPREAD_MIN_ROWS_PER_CORE`` rows per core
-    it is spread round-robin once; smaller inputs stay put, since more
-    tasks would only add scheduling overhead to every pass.
+def training_frame(df: DataFrame, partitions: int | None = None, key: Sequence[str] = ()) -> DataFrame:
+    """Frame for an iterative fit, persisted (memory, spilling to disk) so passes do
+    not re-read the source; a lost executor's blocks are recomputed from lineage.
+
+    The input's layout is left alone, whatever its size and the cluster's,
+    unless ``partitions`` and ``key`` name one: then rows go to that many
+    partitions by the hash of ``key`` and are sorted by all sortable columns
+    inside, so seeded fits see the same rows in the same order everywhere.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores and df.count() >= cores * SPREAD_MIN_ROWS_PER_CORE:
-        return df.repartition(cores)
-    return df
-
-
-def training_frame(df: DataFrame) -> DataFrame:
-    """Frame for an iterative fit: spread when worth it (``spread``), persisted
-    (memory, spilling to disk) so passes do not re-read the source; a lost
-    executor's blocks are recomputed from lineage."""
-    return spread(df).persist(StorageLevel.MEMORY_AND_DISK)
+    if partitions:
+        order = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("udt", "map", "variant")]
+        df = df.repartition(partitions, *(key or order)).sortWithinPartitions(*order)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def fit_pipeline(stages: Sequence, df: DataFrame) -> PipelineModel:
-    """M8: fit all stages in order on a spread, persisted training frame.
+def fit_pipeline(stages: Sequence, df: DataFrame, partitions: int | None = None,
+                 key: Sequence[str] = ()) -> PipelineModel:
+    """M8: fit all stages in order on a persisted training frame (``training_frame``
+    explains ``partitions`` and ``key``).
 
     The raw columns are persisted, not the assembled vectors: cached
     vector columns are deserialised on every pass, which measured slower
     than re-running the cheap feature transforms from cached columns.
     """
-    train = training_frame(df)
+    train = training_frame(df, partitions, key)
     try:
         return Pipeline(stages=list(stages)).fit(train)
     finally:

@@ -247,3 +247,23 @@ def test_perceptron_and_logistic_properties(spark):
     lg = logistic(spark, SF_SMALL)
     labels = {r.label for r in lg.select("label").distinct().collect()}
     assert {r.prediction for r in lg.select("prediction").distinct().collect()} <= labels
+
+
+def test_regression_metrics_skip_unscored_rows_and_constant_labels(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, None), (None, 1.0)], "label double, prediction double")
+    r = metrics.regression_metrics(df).first()
+    assert r["n"] == 2 and abs(r["rmse"] - 2.5 ** 0.5) < 1e-12
+    r = metrics.regression_metrics(spark.createDataFrame([(1.0, 2.0), (1.0, 0.0)], df.schema)).first()
+    assert r["r2"] is None and r["mse"] == 1.0
+    assert metrics.regression_metrics(df.limit(0)).first()["rmse"] is None
+    assert all(x["label"] is not None for x in metrics.per_label_metrics(df).collect())
+
+
+def test_seeded_forest_does_not_depend_on_the_input_layout(spark):
+    df = spark.range(3000).selectExpr("cast(id % 3 as double) as label", "cast(hash(id) % 100 as double) as x",
+                                      "cast(id % 7 as double) as z")
+    out = []
+    for n in (2, 8):
+        m = models.fit_pipeline([feat.assembler(["x", "z"]), models.random_forest()], df.repartition(n), partitions=4)
+        out.append([r["prediction"] for r in m.transform(df.orderBy("label", "x", "z")).select("prediction").collect()])
+    assert out[0] == out[1]
