@@ -50,7 +50,6 @@ with prepared as (
          (l_quantity + 10) / 20 as scale
   from lineitem
   where l_linestatus is not null and l_quantity is not null
-    and l_orderkey % 43 in (3, 5, 7, 8, 11, 20, 6, 2, 9, 10, 12, 13)
 )
 select Actor1Code, tone, is_same, count(*) as n,
        round(avg(scale), 9) as avg_scale, round(var_samp(scale), 9) as var_scale,
@@ -61,13 +60,11 @@ from prepared group by Actor1Code, tone, is_same
 
 @query("prepared_moments", PREPARED_MOMENTS_SQL)
 def prepared_moments(spark: SparkSession, sf: str) -> DataFrame:
-    """Read -> presence + shard filter -> one withColumns (E1 E5 E7 E8) -> A1."""
+    """Read -> presence filter -> one withColumns (E1 E5 E7 E8) -> A1."""
     li = table(spark, sf, "lineitem")
     base = li.select(code_col().alias("Actor1Code"), country_col().alias("Actor1CountryCode"),
-                     "l_extendedprice", "l_quantity", "l_linestatus",
-                     lineitem_key().alias("key"))
+                     "l_extendedprice", "l_quantity", "l_linestatus")
     base = prep.keep_present(base, ["l_linestatus", "l_quantity"])
-    base = prep.in_shards(base, [3, 5, 7, 8, 11, 20, 6, 2, 9, 10, 12, 13])
     fields = prep.add_fields(base, {
         "Actor1Code": X.fill_from("Actor1Code", "Actor1CountryCode"),
         "tone": X.bin_ordinal("l_extendedprice", [5000, 20000, 40000, 70000, 100000]),
@@ -685,10 +682,7 @@ prepared as (
               else 'neutral' end as ToneLevel
   from lineitem, q
   where l_linestatus is not null and l_quantity is not null),
-kept as (
-  select * from prepared
-  order by l_orderkey, l_linenumber, AvgTone, GoldsteinScale, Actor1Code, is_same
-  limit 50000)
+kept as (select * from prepared)
 select 'count' as summary, round(cast(count(AvgTone) as double), 6) as AvgTone,
        round(cast(count(GoldsteinScale) as double), 6) as GoldsteinScale,
        round(cast(count(is_same) as double), 6) as is_same,
@@ -710,7 +704,7 @@ union all select '75%', round(quantile_cont(AvgTone, 0.75), 6), round(quantile_c
 def tone_level_summary(spark: SparkSession, sf: str) -> DataFrame:
     """The import job end to end: presence filter, one ``withColumns`` of fill,
     flag and a three-way tone level whose cuts are exact quartiles of an
-    earlier pass, an ordered 50,000-row limit, then the selected summary."""
+    earlier pass, then the selected summary of all rows."""
     li = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_linestatus",
         code_col().alias("Actor1Code"), country_col().alias("Actor1CountryCode"))
@@ -724,11 +718,9 @@ def tone_level_summary(spark: SparkSession, sf: str) -> DataFrame:
         "is_same": X.same_flag("Actor1Code", "Actor1CountryCode"),
         "ToneLevel": X.bin_three_way("l_extendedprice", q75, q25),
     })
-    kept = prep.ordered_limit(fields, 50000, ["l_orderkey", "l_linenumber", "AvgTone", "GoldsteinScale",
-                                              "Actor1Code", "is_same"])
-    # the kept rows (at most the limit) are read by several summary passes:
-    # write them once to the checkpoint folder instead of re-sorting per pass
-    kept = reliable_checkpoint(kept.select("AvgTone", "GoldsteinScale", "is_same", "ToneLevel"))
+    # the rows are read by several summary passes: write them once to the
+    # checkpoint folder instead of reading and preparing them per pass
+    kept = reliable_checkpoint(fields.select("AvgTone", "GoldsteinScale", "is_same", "ToneLevel"))
     cols = ("AvgTone", "GoldsteinScale", "is_same", "ToneLevel")
     s = describe.summary_exact(kept, list(cols), ["count", "mean", "stddev", "25%", "75%"])
     return s.select("summary", *[F.round(c, 6).alias(c) for c in cols])

@@ -25,6 +25,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(conf)
         return conf
+    master = getattr(sc, "master", "local")
+    if sc.getCheckpointDir() and not _LOCAL_BASE.get(id(sc)):
+        return sc.getCheckpointDir()
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = id(sc)
     if key not in _LOCAL_BASE:
         _LOCAL_BASE[key] = tempfile.mkdtemp(prefix="evstat-ckpt-")
