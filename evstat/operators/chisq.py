@@ -6,17 +6,17 @@ At-scale route (no MLlib category limit, nothing gathered):
   and counted per ``(feature, value, label)`` - one shuffle with
   map-side partial aggregation, so a hot value costs one row per
   partition;
-* for a table with row totals ``r``, label totals ``c`` and grand total
-  ``N`` the statistic is ``sum((o - e)^2 / e) = N * sum(o^2 / (r c)) - N``,
-  a sum over the *observed* cells only - empty cells never have to be
-  generated, so there is no cross product of values and labels;
-* label totals are one row per class; up to ``max_labels`` classes
-  (MLlib's own limit is 10,000, checked by reading at most one more row)
-  they are inlined as a map literal, so no join is needed; beyond that
-  they stay a table joined on the label;
+* for a cell with count ``o``, row total ``r``, label total ``c`` and grand
+  total ``N`` the expected count is ``e = r c / N`` and the cell adds
+  ``(o - e)^2 / e``; ``o N - r c`` is taken in whole numbers (decimal), so
+  nothing cancels at 10^12 rows.  The empty cells of a value add up to
+  ``r (N - sum of its observed c) / N``: they never have to be generated, so
+  there is no cross product of values and labels;
+* row and label totals stay tables, joined on the value and on the label
+  (AQE sizes the joins), whatever the number of classes;
 * ``dof = (values - 1) * (labels - 1)``; the p-value is the chi-square
-  survival function, built from Spark built-ins (a log-space power series
-  in ``aggregate``), evaluated per feature (one row each).
+  survival function, built from Spark built-ins and evaluated per feature
+  (one row each) in a bounded number of steps.
 
 ``chi_square_mllib`` runs MLlib's ``ChiSquareTest`` on the same input as
 a cross-check.
@@ -32,24 +32,57 @@ from pyspark.sql import functions as F
 
 from evstat.session import reliable_checkpoint
 
-MAX_LABELS = 10000
-
 
 # ---------------------------------------------------------------- chi-square tail (built-ins only)
 
-def _lgamma_half(a: Column) -> Column:
-    """``log Gamma(a)`` for ``a = dof / 2`` (a whole or half-whole number)."""
-    m = F.floor(a).cast("int")
-    whole = F.aggregate(F.sequence(F.lit(0), m - 1), F.lit(0.0),
-                        lambda acc, j: acc + F.log(F.greatest(j, F.lit(1)).cast("double")))
-    half = F.aggregate(F.sequence(F.lit(0), m), F.lit(0.5 * math.log(math.pi)),
-                       lambda acc, j: acc + F.when(j < m, F.log(j + F.lit(0.5))).otherwise(F.lit(0.0)))
-    return F.when(a == m, whole).otherwise(half)
+#: Stirling's series of ``log Gamma``: the factors of 1/z, 1/z^3, 1/z^5, ... (fixed values)
+_STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360)
+_SHIFT = 8
+#: from this ``dof / 2`` on, the tail is integrated around its peak
+_LARGE = 5000.0
+_WIDTH = 12.0              # standard deviations; beyond them a double cannot tell the tail from 0 or 1
+_SIMPSON = 4000            # even number of steps of the integration
+
+
+def _stirling_rest(z: Column) -> Column:
+    """``log Gamma(z) - ((z - 1/2) log z - z + log(2 pi)/2)`` for ``z`` of 8 or more."""
+    z2 = z * z
+    out = F.lit(0.0)
+    for factor in reversed(_STIRLING):
+        out = out / z2 + F.lit(factor)
+    return out / z
+
+
+def _log_gamma(a: Column) -> Column:
+    """``log Gamma(a)`` for ``a > 0`` at constant cost."""
+    z = a + F.lit(float(_SHIFT))
+    below = F.log(a)
+    for k in range(1, _SHIFT):
+        below = below + F.log(a + F.lit(float(k)))
+    return ((z - 0.5) * F.log(z) - z + F.lit(0.5 * math.log(2 * math.pi)) + _stirling_rest(z)) - below
 
 
 _TINY = 1e-300
 
 
+def _tail_of_large(a: Column, x: Column) -> Column:
+    """``Q(a, x)`` for large ``a``: Simpson's rule over the density from ``x`` to
+    12 standard deviations above the mean, all terms relative to ``a``."""
+    top = a + F.lit(_WIDTH) * F.sqrt(a)
+    h = (top - x) / F.lit(float(_SIMPSON))
+
+    def density(k: Column) -> Column:
+        u = (x + h * k - a) / a
+        return F.exp(a * (F.log1p(u) - u) - F.log1p(u) - 0.5 * F.log(F.lit(2 * math.pi) * a) - _stirling_rest(a))
+
+    weight = lambda k: F.when((k == 0) | (k == _SIMPSON), 1.0).when(k % 2 == 1, 4.0).otherwise(2.0)
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(_SIMPSON)), F.lit(0.0),
+                        lambda acc, k: acc + weight(k) * density(k.cast("double")))
+    sd = F.sqrt(a)
+    return (F.when(x >= top, F.lit(0.0)).when(x <= a - F.lit(_WIDTH) * sd, F.lit(1.0))
+            .otherwise(F.least(total * h / 3.0, F.lit(1.0))))
+
+
 def chi2_sf(stat: Column, dof: Column) -> Column:
     """P(X >= stat) for X ~ chi-square(dof), as ``1 - CDF`` (MLlib's definition).
 
@@ -57,13 +90,15 @@ def chi2_sf(stat: Column, dof: Column) -> Column:
     for ``x < a + 1`` the CDF is ``f * sum_k x^k / (a (a+1) ... (a+k))`` (terms
     shrink from the first); otherwise the tail ``Q = f * CF`` comes from
     Lentz's continued fraction and ``1 - (1 - Q)`` is returned, as MLlib does.
-    Both loops are ``aggregate`` over ``sequence`` with ``O(sqrt(a))`` steps -
-    built-ins only, evaluated per feature (one row each).
+    From ``a = 5000`` on the density is integrated instead.  All loops are
+    ``aggregate`` over a ``sequence`` of at most 4,001 steps, whatever ``dof``
+    and ``stat``; built-ins only, evaluated per feature (one row each).
     """
     a = dof.cast("double") / 2.0
     x = stat.cast("double") / 2.0
-    log_f = a * F.log(x) - x - _lgamma_half(a)
-    steps = F.ceil(F.lit(12.0) * F.sqrt(a + x) + F.lit(100.0)).cast("int")
+    log_f = a * F.log(x) - x - _log_gamma(a)
+    near = F.least(a, F.lit(_LARGE))
+    steps = F.ceil(F.lit(12.0) * F.sqrt(near + F.least(x, near + 1.0)) + F.lit(100.0)).cast("int")
 
     series = F.aggregate(
         F.sequence(F.lit(1), steps),
@@ -83,6 +118,7 @@ def chi2_sf(stat: Column, dof: Column) -> Column:
     return (F.when(dof.isNull() | stat.isNull(), F.lit(None).cast("double"))
             .when(dof <= 0, F.lit(float("nan")))
             .when(stat <= 0, F.lit(1.0))
+            .when(a >= F.lit(_LARGE), F.lit(1.0) - (F.lit(1.0) - _tail_of_large(a, x)))
             .when(x < a + 1.0, F.lit(1.0) - cdf_series)
             .otherwise(F.lit(1.0) - (F.lit(1.0) - q)))
 
@@ -125,57 +161,46 @@ def distinct_levels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             .groupBy("column").agg(F.count(F.lit(1)).alias("levels")))
 
 
-def label_totals(df: DataFrame, label: str, max_labels: int = MAX_LABELS,
-                 weight: str | None = None) -> dict | None:
-    """Rows (or summed ``weight``) per label class, or ``None`` when there are
-    more than ``max_labels`` classes (at most ``max_labels + 1`` rows are read)."""
-    size = F.sum(weight) if weight else F.count(F.lit(1))
-    rows = (df.groupBy(F.col(label).alias("label")).agg(size.alias("n"))
-            .limit(max_labels + 1).collect())
-    if len(rows) > max_labels:
-        return None
-    return {r["label"]: int(r["n"]) for r in rows}
+# ---------------------------------------------------------------- the test (T-1..T-3)
 
+def chi_square_of_cells(cells: DataFrame, with_p_value: bool = True) -> DataFrame:
+    """The test from a table of observed cells ``feature, value, label, n`` (as ``contingency``
+    gives it; every feature's cells add up to the same rows)."""
+    by_label = cells.groupBy("feature", "label").agg(F.sum("n").alias("col_n"))
+    by_value = cells.groupBy(F.col("feature").alias("_f"), F.col("value").alias("_v")).agg(F.sum("n").alias("row_n"))
+    total = by_label.groupBy(F.col("feature").alias("_tf")).agg(
+        F.sum("col_n").alias("total"), F.count(F.lit(1)).alias("labels"))
+    full = (cells.join(by_label, ["feature", "label"])
+            .join(by_value, (F.col("feature") == F.col("_f")) & F.col("value").eqNullSafe(F.col("_v")))
+            .join(total, F.col("feature") == F.col("_tf")))
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    num = lambda c: F.col(c).cast("double")
+    off = (whole("n") * whole("total") - whole("row_n") * whole("col_n")).cast("double")
+    per_value = full.groupBy("feature", "value").agg(
+        F.sum(off / num("total") * off / num("row_n") / num("col_n")).alias("seen"),
+        F.first("row_n").alias("row_n"), F.first("total").alias("total"), F.first("labels").alias("labels"),
+        F.sum("col_n").alias("seen_n"))
+    unseen = F.col("row_n").cast("double") * (F.col("total") - F.col("seen_n")) / F.col("total")
+    per = per_value.groupBy("feature").agg(
+        F.sum(F.col("seen") + unseen).alias("statistic"),
+        ((F.count(F.lit(1)) - 1) * (F.first("labels") - 1)).alias("dof"))
+    if with_p_value:
+        per = per.withColumn("p_value", chi2_sf(F.col("statistic"), F.col("dof")))
+    return per
 
-# ---------------------------------------------------------------- the test (T-1..T-3)
 
 def chi_square(df: DataFrame, features: Sequence[str] | str, label: str,
-               max_labels: int = MAX_LABELS, with_p_value: bool = True) -> DataFrame:
+               with_p_value: bool = True) -> DataFrame:
     """Pearson chi-square of each feature against ``label``.
 
-    Returns ``feature string, statistic double, dof int[, p_value double]``,
+    Returns ``feature string, statistic double, dof bigint[, p_value double]``,
     one row per feature.  Null is a category of its own (MLlib's
     ``handleInvalid='keep'``).  Rows with a null label are ignored.
     """
-    features = [features] if isinstance(features, str) else list(features)
     df = df.where(F.col(label).isNotNull())
-    # one scan of the input: the observed cells are small (values x labels per
-    # feature) and are written to the checkpoint folder; label totals are the
-    # first feature's cells summed by label (every row has one cell per feature)
-    cells = reliable_checkpoint(contingency(df, features, label))
-    first = cells.where(F.col("feature") == F.lit(features[0]))
-    totals = label_totals(first, "label", max_labels, weight="n")
-    if totals is not None:
-        # few classes: label totals inlined as a map literal, no join
-        n_total = float(sum(totals.values()))
-        n_labels = len(totals)
-        col_n = F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(float(v)))])
-        with_col = cells.withColumn("col_n", F.element_at(col_n, F.col("label")))
-    else:
-        # many classes: label totals as a table joined on the label (AQE sizes the join)
-        col_t = first.groupBy("label").agg(F.sum("n").cast("double").alias("col_n"))
-        agg = col_t.agg(F.sum("col_n"), F.count(F.lit(1))).first()
-        n_total, n_labels = float(agg[0]), int(agg[1])
-        with_col = cells.join(col_t, "label")
-    rows = with_col.groupBy("feature", "value").agg(
-        F.sum("n").alias("row_n"),
-        F.sum(F.col("n").cast("double") * F.col("n") / F.col("col_n")).alias("q"))
-    per = rows.groupBy("feature").agg(
-        (F.lit(n_total) * F.sum(F.col("q") / F.col("row_n")) - F.lit(n_total)).alias("statistic"),
-        ((F.count(F.lit(1)) - 1) * F.lit(n_labels - 1)).cast("int").alias("dof"))
-    if with_p_value:
-        per = per.withColumn("p_value", chi2_sf(F.col("statistic"), F.col("dof")))
-    return per
+    # one scan of the input: the observed cells (values x labels per feature) are
+    # written to the checkpoint folder, all totals are sums over them
+    return chi_square_of_cells(reliable_checkpoint(contingency(df, features, label)), with_p_value)
 
 
 def chi_square_mllib(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -219,10 +244,11 @@ def association_report(df: DataFrame, features: Sequence[str], label: str,
     model = models.fit_pipeline(pipe + [lr], src)
     pred = model.transform(src)
     lr_model = model.stages[-1]
+    by_label = metrics.per_label_metrics(pred, "label_idx", "prediction")  # scores the rows once
     return {
         "chi_square": chi,
         "predictions": pred,
-        "by_label": metrics.per_label_metrics(pred, "label_idx", "prediction"),
-        "weighted": metrics.weighted_metrics(pred, "label_idx", "prediction"),
+        "by_label": by_label,
+        "weighted": metrics.weighted_of_labels(by_label),
         "objective": models.objective_history(df.sparkSession, lr_model),
     }

@@ -98,12 +98,16 @@ def per_label_metrics(df: DataFrame, label: str = "label", prediction: str = "pr
 
 
 def weighted_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """V4, V10 of a scored table (``weighted_of_labels`` of its per-label table)."""
+    return weighted_of_labels(per_label_metrics(df, label, prediction))
+
+
+def weighted_of_labels(per: DataFrame) -> DataFrame:
     """Accuracy and label-share weighted FPR, TPR, F1, precision, recall.
 
     ``sum(share * m) = sum(support * m) / sum(support)``: one aggregate over
     the per-label table (one row per class), never over the rows.
     """
-    per = per_label_metrics(df, label, prediction)
     sup = F.col("support")
 
     def wavg(c: str):

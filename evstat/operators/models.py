@@ -122,12 +122,11 @@ def check_nonnegative(df: DataFrame, features: str = "features") -> None:
         raise ValueError(f"features in {features!r} must be non-negative")
 
 
-def label_values(df: DataFrame, label: str = "label", max_labels: int = 10000) -> list:
-    """Sorted distinct labels of a training frame (at most ``max_labels``, checked)."""
+def label_values(df: DataFrame, label: str = "label") -> list:
+    """Sorted distinct labels of a training frame: one value per class, of which the
+    fitted model keeps a row of weights on the driver anyway."""
     rows = (df.select(F.col(label).cast("double").alias("l")).where(F.col("l").isNotNull())
-            .distinct().limit(max_labels + 1).collect())
-    if len(rows) > max_labels:
-        raise ValueError(f"more than {max_labels} classes in {label!r}")
+            .distinct().collect())
     return sorted(r["l"] for r in rows)
 
 

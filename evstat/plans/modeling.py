@@ -72,7 +72,7 @@ stats as (
   select g.feature,
          sum(power(coalesce(cells.n, 0) - g.row_n * g.col_n / t.total, 2)
              / (g.row_n * g.col_n / t.total)) as statistic,
-         cast((count(distinct coalesce(g.value, '<null>')) - 1) * (count(distinct g.label) - 1) as integer) as dof
+         cast((count(distinct coalesce(g.value, '<null>')) - 1) * (count(distinct g.label) - 1) as bigint) as dof
   from grid g join tot t on g.feature = t.feature
   left join cells on g.feature = cells.feature and g.value is not distinct from cells.value
                   and g.label = cells.label
@@ -316,7 +316,7 @@ def chi_report_json(spark: SparkSession, sf: str) -> DataFrame:
     rep = chi_square_3(spark, sf)
     path = scratch_path(spark, f"chi_report/{uuid.uuid4().hex}")
     io.write_report(rep, path)
-    return spark.read.schema("feature string, statistic double, dof int").json(path)
+    return spark.read.schema("feature string, statistic double, dof bigint").json(path)
 
 
 # ============================================================ models (rows-only)
@@ -554,9 +554,7 @@ def cv_grid(spark: SparkSession, sf: str) -> DataFrame:
     pipe, h, lr = tune.hashed_regression(
         ["Actor1Code", "Actor1CountryCode", "ActionGeo_CountryCode", "GoldsteinScale"], "label")
     grid = tune.param_grid(h, lr)
-    cores = spark.sparkContext.defaultParallelism
-    cvm = tune.cross_validate(pipe, grid, train, "label", parallelism=max(tune.PARALLELISM, cores),
-                              fold_col="fold")
+    cvm = tune.cross_validate(pipe, grid, train, "label", parallelism=tune.PARALLELISM, fold_col="fold")
     return tune.grid_table(spark, cvm)
 
 

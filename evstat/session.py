@@ -7,17 +7,15 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-_LOCAL_BASE: dict[int, str] = {}
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder used to cut lineage (checkpoints and intermediate tables).
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder; it is read
-    from the session and always honoured.  Only when it is unset (local
-    tests) a scratch folder is made once per SparkContext and registered
-    with ``setCheckpointDir`` - the session setting itself is never
-    modified (Spark rejects runtime changes to it anyway).
+    from the session and always honoured, else the folder that the
+    SparkContext already has.  Only a local session (tests) without either
+    gets a scratch folder, registered with its SparkContext; elsewhere a
+    missing folder is an error, as executors would write to their own disks.
+    The caller owns the folder and deletes it with its job.
     """
     sc = spark.sparkContext
     conf = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,17 +23,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(conf)
         return conf
-    master = getattr(sc, "master", "local")
-    if sc.getCheckpointDir() and not _LOCAL_BASE.get(id(sc)):
-        return sc.getCheckpointDir()
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    key = id(sc)
-    if key not in _LOCAL_BASE:
-        _LOCAL_BASE[key] = tempfile.mkdtemp(prefix="evstat-ckpt-")
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(_LOCAL_BASE[key])
-    return _LOCAL_BASE[key]
+    if not sc.getCheckpointDir():
+        master = getattr(sc, "master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="evstat-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:

@@ -131,7 +131,11 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
                 partition_by: Sequence[str] = (), header: bool = True) -> None:
     """Overwrite ``path`` with ``df``.  ``partition_by`` (e.g. the shard
-    ``key``) lets later shard filters prune whole folders."""
+    ``key``) lets later shard filters prune whole folders; rows are rebalanced on
+    it first, so a folder gets a few files of a good size (AQE splits a hot key)
+    and not one from every task."""
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         w = w.option("header", header)
@@ -142,6 +146,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
 
 def save_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> None:
     """Overwrite a named catalog table."""
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -151,15 +157,18 @@ def save_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> No
 def write_summary(df: DataFrame, parquet_path: str, csv_path: str) -> None:
     """A summary table to parquet and to CSV with a header (no pandas hop).
 
-    Summaries are small (one row per group), so one CSV file is written.
+    Summaries are small (one row per group), so one CSV file is written, from
+    the parquet table: the summary itself is computed once.
     """
     df.write.mode("overwrite").parquet(parquet_path)
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(csv_path)
+    df.sparkSession.read.schema(df.schema).parquet(parquet_path).coalesce(1).write.mode("overwrite").option("header", True).csv(csv_path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A small report table (e.g. chi-square per feature) as JSON lines."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """A small report table (e.g. chi-square per feature) as JSON lines.
+
+    The final aggregation keeps its own partitions; only its rows go to one task."""
+    df.repartition(1).write.mode("overwrite").json(path)
 
 
 # ---------------------------------------------------------------- views, cache, preview

@@ -108,15 +108,40 @@ def test_chi2_tail_against_reference(spark):
     assert got[7] == 0.0
 
 
-def test_many_labels_take_the_join_path(spark):
-    df = spark.range(400).select((F.col("id") % 20).alias("label"), (F.col("id") % 7).cast("string").alias("f"),
-                                 (F.col("id") % 3).cast("string").alias("g"))
-    inline = {r.feature: r for r in chisq.chi_square(df, ["f", "g"], "label").collect()}
-    joined = {r.feature: r for r in chisq.chi_square(df, ["f", "g"], "label", max_labels=10).collect()}
-    for f in ("f", "g"):
-        assert joined[f].dof == inline[f].dof == (7 - 1 if f == "f" else 3 - 1) * 19
-        assert math.isclose(joined[f].statistic, inline[f].statistic, rel_tol=1e-12, abs_tol=1e-9)
-        assert math.isclose(joined[f].p_value, inline[f].p_value, rel_tol=1e-9, abs_tol=1e-12)
+def test_chi2_tail_of_huge_dof(spark):
+    """Constant cost, and continuous where the integration takes over (normal limit for huge dof)."""
+    rows = [(9999.0, 9999), (10101.0, 10001), (1e9 + 1.5 * math.sqrt(2e9), 10 ** 9), (5e9, 10 ** 9), (10.0, 10 ** 9),
+            (1e12, 2)]
+    df = spark.createDataFrame(rows, "stat double, dof bigint")
+    got = [r.p for r in df.select(chisq.chi2_sf(F.col("stat"), F.col("dof")).alias("p")).collect()]
+    for (st, k), g in list(zip(rows, got))[:2]:
+        assert math.isclose(g, _gamma_q_reference(k / 2.0, st / 2.0), rel_tol=1e-8), (st, k)
+    assert math.isclose(got[2], 0.5 * math.erfc(1.5 / math.sqrt(2)), rel_tol=1e-3)
+    assert got[3] == 0.0 and got[4] == 1.0 and got[5] == 0.0
+
+
+def test_chi_square_keeps_its_digits_at_1e12_rows(spark):
+    from fractions import Fraction
+    n = [[250_000_100_000, 249_999_950_000, 12_345], [249_999_900_000, 250_000_050_000, 0], [7, 0, 3]]
+    cells = spark.createDataFrame([("f", None if i == 2 else str(i), str(j), x) for i, row in enumerate(n)
+                                   for j, x in enumerate(row) if x], "feature string, value string, label string, n long")
+    got = chisq.chi_square_of_cells(cells).first()
+    r, c = [sum(x) for x in n], [sum(x) for x in zip(*n)]
+    e = [[Fraction(a * b, sum(r)) for b in c] for a in r]
+    want = float(sum((n[i][j] - e[i][j]) ** 2 / e[i][j] for i in range(3) for j in range(3)))
+    assert math.isclose(got.statistic, want, rel_tol=1e-9) and got.dof == 4 and got.p_value == 0.0
+
+
+def test_chi_square_with_many_labels(spark):
+    """More classes than MLlib takes, by the same plan; equal to the sum over the whole grid."""
+    df = spark.range(24000).select((F.col("id") % 12000).alias("label"), (F.col("id") % 7).cast("string").alias("f"))
+    got = chisq.chi_square(df, "f", "label", with_p_value=False).first()
+    n, cells, rows = 24000, {}, {}
+    for i in range(n):
+        cells[i % 7, i % 12000] = cells.get((i % 7, i % 12000), 0) + 1
+        rows[i % 7] = rows.get(i % 7, 0) + 1
+    want = sum(o * o / (rows[v] * 2 / n) for (v, _), o in cells.items()) - n
+    assert got.dof == 6 * 11999 and math.isclose(got.statistic, want, rel_tol=1e-9)
 
 
 def test_closed_form_elastic_net_equals_mllib(spark):
