@@ -64,20 +64,21 @@ def _null_guard(x: Column, nulls: str) -> tuple[Column, Column | None]:
 
 def bin_by_rules(
     c: ColumnOrName,
-    rules: Sequence[tuple[str, float, Any]],
+    rules: Sequence[tuple[str, float | Column, Any]],
     default: Any,
     nulls: str = "lowest",
 ) -> Column:
     """First matching rule wins: ``rules = [(op, cut, label), ...]``.
 
-    ``op`` is one of ``< <= > >= == !=``.  Rows matching no rule get
+    ``op`` is one of ``< <= > >= == !=``; a cut is a number or a column (a
+    data-driven cut, E15).  Rows matching no rule get
     ``default``.  ``nulls`` decides where null / NaN go:
     ``lowest`` (below every cut), ``default`` or ``null``.
     """
     x, missing = _null_guard(_col(c), nulls)
     expr = None
     for op, cut, label in rules:
-        cond = _OPS[op](x, F.lit(float(cut)))
+        cond = _OPS[op](x, cut if isinstance(cut, Column) else F.lit(float(cut)))
         expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
     if expr is None:
         expr = F.lit(default)

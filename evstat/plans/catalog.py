@@ -379,12 +379,31 @@ def mean_cut(spark: SparkSession, sf: str) -> DataFrame:
     """E4 + E15: two-way bin around the mean of an earlier pass (scalar subquery)."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     li = prep.with_mean_cut(li, "l_extendedprice", "mean_price")
-    x = F.col("l_extendedprice")
-    level = (F.when(x >= F.col("mean_price"), F.lit("positive"))
-             .when(x < F.col("mean_price"), F.lit("negative")).otherwise(F.lit("invalid")))
+    level = X.bin_two_way("l_extendedprice", F.col("mean_price"))
     return li.select("l_orderkey", "l_linenumber", level.alias("ToneLevel"))
 
 
+@query("mean_cut_gaps", f"""
+with g as (select event_id, {GAPS_SQL} as v from events), m as (select avg(v) as mean_value from g)
+select event_id, case when v >= mean_value then 'positive' else 'negative' end as ToneLevel from g, m
+""")
+def mean_cut_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """E4 + E15 on a measure with nulls: a missing value sorts below every cut (trap T1)."""
+    ev = table(spark, sf, "events").select("event_id", events_with_gaps().alias("v"))
+    ev = prep.with_mean_cut(ev, "v", "mean_value")
+    return ev.select("event_id", X.bin_two_way("v", F.col("mean_value")).alias("ToneLevel"))
+
+
+@query("returned_lines", """
+select l_orderkey, l_linenumber, l_quantity from lineitem where l_returnflag = 'R'
+""")
+def returned_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """F5 + P3: keep one category, then drop its column."""
+    cols = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]
+    kept = prep.equals(table(spark, sf, "lineitem"), "l_returnflag", "R")
+    return prep.project(kept, cols, exclude=["l_returnflag"])
+
+
 # ============================================================ aggregates
 
 @query("grouped_moments", """

@@ -11,7 +11,7 @@ from conftest import SF_ORACLE
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
-SLOW = {"cv_grid", "mlp", "logistic", "random_forest", "hash_features"}
+SLOW = {"cv_grid"}   # runs below on a few points, in full in the bench
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +59,10 @@ def test_every_oracle_has_a_query():
 def test_rows_only_queries_run(spark, name):
     from conftest import SF_SMALL
     assert entry.queries()[name](spark, SF_SMALL).count() > 0
+
+
+def test_grid_search_on_a_few_points(spark):
+    from conftest import SF_SMALL
+    from evstat.plans import modeling
+    rows = modeling.cv_grid(spark, SF_SMALL, points=3).collect()
+    assert len(rows) == 3
