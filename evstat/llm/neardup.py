@@ -11,10 +11,10 @@ linked.  Classes are the connected components of the links.
    its minimum.  Darts after a time by which all coordinates are likely hit
    are never thrown (a bag with an empty coordinate gets twice the time), so
    the cost is the bag's size plus ``k log k``, not their product.
-3. Bands of ``rows`` coordinates are bucket keys.  A bucket's smallest member
-   is compared with the others (a star, not all pairs).  Then, round after
-   round, only buckets that still hold different components go on: first
-   with a random leader each, at last with all members of different
+3. Bands of ``rows`` coordinates are bucket keys.  A content is first compared
+   with the smallest member of all its buckets, one pair a content.  Then,
+   round after round, only buckets that still hold different components go
+   on: twice with a random leader each, at last with all members of different
    components, so that no candidate pair is left undecided unless its texts
    are already in one class.  In that last round the pairs of small buckets
    are listed; large buckets are dealt out in blocks, a block meets a block in
@@ -239,18 +239,21 @@ def content_classes(texts: DataFrame, *, similarity: float = SIMILARITY, width:
     active = materialise(members.join(stars.select("bucket", "lead"), "bucket"), "dup-buckets")
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tried = active.where("uid <> lead").select(*pair("lead", "uid")).distinct()
+    # one pair a content; buckets that it leaves in different components come up again below
+    tried = (active.where("uid <> lead").groupBy("uid").agg(F.min("lead").alias("lead"))
+             .select(*pair("lead", "uid")))
     tried = materialise(tried, "dup-tried")
     bags = _bags_of(active, texts, contents, width)   # every later candidate is one of these
     links = _verify(tried, bags, similarity)
     label = components(links)
-    for last in (False, True):
+    for turn, last in enumerate((False, False, True)):
+        chance = F.xxhash64("uid", "bucket", F.lit(turn))
         known = label.select(F.col("node").alias("uid"), "comp")
         now = (active.select("bucket", "uid").join(known, "uid", "left")
                .select("bucket", "uid", F.coalesce("comp", "uid").alias("comp")))
         mixed = (now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                           F.min_by("uid", F.xxhash64("uid", "bucket")).alias("lead"),
-                                           F.min_by("comp", F.xxhash64("uid", "bucket")).alias("lead_comp"))
+                                           F.min_by("uid", chance).alias("lead"),
+                                           F.min_by("comp", chance).alias("lead_comp"))
                  .where("lo < hi"))
         open_ = materialise(now.join(mixed.select("bucket", "lead", "lead_comp"), "bucket"), "dup-open")
         if last:
