@@ -227,6 +227,19 @@ def _verify(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
                        "dup-links")
 
 
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``uid, comp`` after new ``links``: only links between different components are
+    searched for components, with one node for each component so far."""
+    ends = (links.join(label.select(F.col("uid").alias("a"), F.col("comp").alias("comp_a")), "a")
+            .join(label.select(F.col("uid").alias("b"), F.col("comp").alias("comp_b")), "b"))
+    across = materialise(ends.where("comp_a <> comp_b")
+                         .select(F.least("comp_a", "comp_b").alias("a"), F.greatest("comp_a", "comp_b").alias("b")).distinct(),
+                         "dup-across")
+    risen = components(across).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    return materialise(label.join(risen, "comp", "left").select("uid", F.coalesce("top", "comp").alias("comp")),
+                       "dup-label")
+
+
 def content_classes(texts: DataFrame, *, similarity: float = SIMILARITY, width: int = WORDS,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``cid, text`` (any number of rows a content) to ``cid, comp`` for every content
@@ -244,24 +257,22 @@ def content_classes(texts: DataFrame, *, similarity: float = SIMILARITY, width:
              .select(*pair("lead", "uid")))
     tried = materialise(tried, "dup-tried")
     bags = _bags_of(active, texts, contents, width)   # every later candidate is one of these
-    links = _verify(tried, bags, similarity)
-    label = components(links)
+    label = _merged(contents.select("uid", F.col("uid").alias("comp")), _verify(tried, bags, similarity))
     for turn, last in enumerate((False, False, True)):
         chance = F.xxhash64("uid", "bucket", F.lit(turn))
-        known = label.select(F.col("node").alias("uid"), "comp")
-        now = (active.select("bucket", "uid").join(known, "uid", "left")
-               .select("bucket", "uid", F.coalesce("comp", "uid").alias("comp")))
+        now = active.select("bucket", "uid").join(label, "uid")
         mixed = (now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                            F.min_by("uid", chance).alias("lead"),
                                            F.min_by("comp", chance).alias("lead_comp"))
                  .where("lo < hi"))
         open_ = materialise(now.join(mixed.select("bucket", "lead", "lead_comp"), "bucket"), "dup-open")
+        links = None
         if last:
             held = open_.groupBy("bucket").agg(F.count("*").alias("n"))
             sized = open_.join(held, "bucket")
             large = sized.where(F.col("n") > LISTED)
             if large.limit(1).count():
-                links = links.union(_verify_blocks(large, bags, similarity))
+                links = _verify_blocks(large, bags, similarity)
             small = sized.where(F.col("n") <= LISTED)
             other = small.select(F.col("bucket").alias("bucket2"), F.col("uid").alias("lead2"), F.col("comp").alias("comp2"))
             pairs = (small.join(other, (F.col("bucket") == F.col("bucket2")) & (F.col("comp") < F.col("comp2")))
@@ -269,11 +280,10 @@ def content_classes(texts: DataFrame, *, similarity: float = SIMILARITY, width:
         else:
             pairs = open_.where("comp <> lead_comp").select(*pair("lead", "uid"))
         pairs = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "dup-tried")
-        links = links.union(_verify(pairs, bags, similarity))
+        found = _verify(pairs, bags, similarity)
+        label = _merged(label, found if links is None else links.union(found))
         tried = tried.union(pairs)
-        label = components(links)
-    return (contents.select("uid", "cid").join(label.select(F.col("node").alias("uid"), "comp"), "uid", "left")
-            .select("cid", F.coalesce("comp", "uid").alias("comp")))
+    return contents.select("uid", "cid").join(label, "uid").select("cid", "comp")
 
 
 def near_dups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
