@@ -14,9 +14,10 @@ linked.  Classes are the connected components of the links.
 3. Bands of ``rows`` coordinates are bucket keys.  A content is first compared
    with the smallest member of all its buckets, one pair a content.  Then,
    round after round, only buckets that still hold different components go
-   on: twice with a random leader each, at last with all members of different
-   components, so that no candidate pair is left undecided unless its texts
-   are already in one class.  In that last round the pairs of small buckets
+   on: twice with a random leader each, taken from the bucket's largest
+   component, at last with all members of different components, so that no
+   candidate pair is left undecided unless its texts are already in one class.
+   New links are merged between components, one node a component.  In that last round the pairs of small buckets
    are listed; large buckets are dealt out in blocks, a block meets a block in
    one row, and only links leave the task.
 4. Candidates are compared exactly: their texts are read again, and only
@@ -257,16 +258,19 @@ def content_classes(texts: DataFrame, *, similarity: float = SIMILARITY, width:
              .select(*pair("lead", "uid")))
     tried = materialise(tried, "dup-tried")
     bags = _bags_of(active, texts, contents, width)   # every later candidate is one of these
+    active = active.select("bucket", "uid")
     label = _merged(contents.select("uid", F.col("uid").alias("comp")), _verify(tried, bags, similarity))
     for turn, last in enumerate((False, False, True)):
         chance = F.xxhash64("uid", "bucket", F.lit(turn))
-        now = active.select("bucket", "uid").join(label, "uid")
-        mixed = (now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                           F.min_by("uid", chance).alias("lead"),
-                                           F.min_by("comp", chance).alias("lead_comp"))
-                 .where("lo < hi"))
-        open_ = materialise(now.join(mixed.select("bucket", "lead", "lead_comp"), "bucket"), "dup-open")
+        now = active.join(label, "uid")
+        # the leader comes from the bucket's largest component, so that few members are outside it
+        mixed = (now.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.min_by("uid", chance).alias("lead"))
+                 .groupBy("bucket").agg(F.count("*").alias("comps"), F.max_by(F.struct("lead", "comp"), F.struct("n", "comp")).alias("top"))
+                 .where("comps > 1"))
+        open_ = materialise(now.join(mixed.select("bucket", "top.lead", F.col("top.comp").alias("lead_comp")), "bucket"),
+                            "dup-open")
         links = None
+        active = open_.select("bucket", "uid")    # a bucket of one component stays so
         if last:
             held = open_.groupBy("bucket").agg(F.count("*").alias("n"))
             sized = open_.join(held, "bucket")
@@ -278,7 +282,9 @@ def content_classes(texts: DataFrame, *, similarity: float = SIMILARITY, width:
             pairs = (small.join(other, (F.col("bucket") == F.col("bucket2")) & (F.col("comp") < F.col("comp2")))
                      .select(*pair("lead2", "uid")))
         else:
-            pairs = open_.where("comp <> lead_comp").select(*pair("lead", "uid"))
+            # buckets that stay mixed come up again: one leader of a component is enough for now
+            pairs = (open_.where("comp <> lead_comp").groupBy("uid", "lead_comp").agg(F.min_by("lead", F.xxhash64("lead", "uid", F.lit(turn))).alias("lead"))
+                     .select(*pair("lead", "uid")))
         pairs = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "dup-tried")
         found = _verify(pairs, bags, similarity)
         label = _merged(label, found if links is None else links.union(found))
