@@ -159,7 +159,9 @@ def content_key(text: str = "text"):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, text_bytes: int,
                     doc_id: str = "doc_id", text: str = "text", lang: str | None = None) -> list:
     """A bounded training sample as rows ``(text, label, lang)``: of each label 1 and 0 the
-    first ``rows / 2`` ids by hash, cut where their texts exceed ``text_bytes / 2``."""
+    first ``rows / 2`` ids by hash.  Where their texts exceed ``text_bytes / 2`` together, the
+    longest are left out, as few as that needs: one long text costs at most itself, and a label
+    has no rows only if each of its chosen texts exceeds ``text_bytes / 2`` alone."""
     spread = F.xxhash64(F.col(doc_id).cast("string"), F.lit("train"))
     chosen = None
     for y in (1, 0):
@@ -172,8 +174,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, t
               .select(F.col(text).alias("text"), F.col("_y").alias("y"), spread.alias("h"),
                       (F.col(lang) if lang else F.lit(None).cast("string")).alias("lang"),
                       F.octet_length(text).alias("size")))
-    run = Window.partitionBy("y").orderBy("h", "size", "text")
-    kept = (picked.withColumn("nr", F.row_number().over(run))
-            .withColumn("sum", F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-            .where((F.col("nr") <= rows // 2) & (F.col("sum") <= text_bytes // 2)))
+    picked = (picked.withColumn("nr", F.row_number().over(Window.partitionBy("y").orderBy("h", "size", "text")))
+              .where(F.col("nr") <= rows // 2))
+    shortest = Window.partitionBy("y").orderBy("size", "nr").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = picked.withColumn("sum", F.sum("size").over(shortest)).where(F.col("sum") <= text_bytes // 2)
     return sorted(kept.select("y", "h", "text", "lang").collect(), key=lambda r: (-r["y"], r["h"], r["text"]))

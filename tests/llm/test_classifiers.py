@@ -8,6 +8,7 @@ from conftest import SF_ORACLE, SF_SMALL
 from evstat.llm import crf_quality as Q
 from evstat.llm import queries
 from evstat.llm import toxicity as T
+from evstat.llm.common import labelled_sample
 from llm.helpers import HARD_TEXTS, empty_docs, hard_docs
 
 
@@ -99,3 +100,13 @@ def test_limits_follow_language():
     y = np.array([1, 1, 0, 0, 1, 1, 0, 0])
     limits = T.calibrate(s, y, ["en"] * 4 + ["de"] * 3 + [None])
     assert limits["en"] > 0.5 >= limits["de"] and None in limits and 0.2 < limits[None] <= 0.45
+
+
+def test_one_huge_text_a_label_costs_only_itself(spark):
+    first = {}      # the id of each label that comes first by hash
+    for r in spark.range(40).selectExpr("id", "id % 2 as y", "xxhash64(cast(id as string), 'train') as h").orderBy("h").collect():
+        first.setdefault(r.y, r.id)
+    rows = [(i, "long " * 2000 if i in first.values() else f"text {i}", i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    got = labelled_sample(df.select("doc_id", "text"), df.select("doc_id", "y"), "y", 40, 10_000)
+    assert sorted(r.text for r in got) == sorted(t for i, t, _ in rows if i not in first.values())
