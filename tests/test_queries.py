@@ -66,3 +66,26 @@ def test_grid_search_on_a_few_points(spark):
     from evstat.plans import modeling
     rows = modeling.cv_grid(spark, SF_SMALL, points=3).collect()
     assert len(rows) == 3
+
+
+def test_model_queries_take_the_whole_table(spark, monkeypatch):
+    from conftest import SF_SMALL
+    from evstat.plans import modeling
+    keys = [r[0] for r in spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").select("l_orderkey").collect()]
+    held = sum(k % 10 == 0 for k in keys)
+    seen = {}
+
+    def spy(module, name, at):
+        real = getattr(module, name)
+
+        def run(*args, **more):
+            seen[name] = args[at].count()
+            return real(*args, **more)
+        monkeypatch.setattr(module, name, run)
+
+    spy(modeling.models, "fit_pipeline", 1)
+    spy(modeling.models, "score", 1)
+    spy(modeling.tune, "cross_validate", 2)
+    modeling.model_roundtrip(spark, SF_SMALL).count()
+    modeling.cv_grid(spark, SF_SMALL, points=1)
+    assert seen == {"fit_pipeline": len(keys) - held, "score": held, "cross_validate": len(keys) - held}
