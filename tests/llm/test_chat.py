@@ -64,3 +64,38 @@ def test_hard_rows_and_windows(spark):
             before = chat.read_back(one[i - 1].formatted)
             assert turns[1:r.repeated] == before[len(before) - len(old):]
     assert chat.digests(chat.windows(df.limit(0), PATH)).count() == 0
+
+
+def test_windows_keep_the_budget(spark):
+    """Budget held by every window without an overlong turn, cuts those of one pass over the conversation."""
+    from evstat.llm.packing import tokens_of
+    tokens = tokens_of(PATH)
+    n = lambda r, t: len(tokens(chat.escape(t))) // 2 + max(0, len(tokens(chat.escape_role(r))) // 2 - 1) + chat.TURN_TOKENS
+    rows = [(1, 0, "system", "be kind")] + [(1, i, ["user", "assistant"][i % 2], f"turn {i} " + ["word ", "<|\\ "][i % 5 == 0] * (i * 37 % 150)) for i in range(1, 300)]
+    rows += [(2, i, "a very long role " * 5, "yes " * (i * 53 % 200)) for i in range(80)]
+    rows += [(None, i, "assistant", "long " * (600 if i % 9 == 5 else 40)) for i in range(40)] + [(4, 0, "user", "word " * 420), (4, 1, "user", "hm")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = defaultdict(dict)
+    for r in chat.windows(df, PATH, budget=512, history=128).collect():
+        got[r.conv_id][r.window] = (chat.read_back(r.formatted), r.repeated)
+    for conv, ws in got.items():
+        mine = [(r, t) for c, _, r, t in rows if c == conv]
+        lead = n(*mine[0]) if mine[0][0] == "system" else 0
+        body = mine[1:] if lead else mine
+        want = chat.cut([n(*t) for t in body], 512 - 128 - lead)
+        assert sorted(ws) == sorted(set(want))
+        for w, (turns, repeated) in ws.items():
+            new = [t for t, x in zip(body, want, strict=True) if x == w]
+            assert (turns[repeated:] if w or not lead else turns[1:]) == new
+            total = sum(n(*t) for t in turns)
+            assert total <= 512 or len(new) == 1 and n(*new[0]) + lead > 512 and repeated == bool(lead and w)
+
+
+@given(st.lists(st.integers(6, 60), max_size=30), st.integers(1, 40), st.integers(0, 30))
+def test_chained_ranges_cut_as_one(sizes, room, at):
+    used, opened = chat.exits(sizes[:at], room)
+    whole, head = chat.cut(sizes, room), chat.cut(sizes[:at], room)
+    assert opened[0] == (head[-1] + 1 if head else 0)
+    assert head + chat.cut(sizes[at:], room, int(used[0]), int(opened[0]) - 1) == whole
+    for entry in range(1, room + 1):
+        assert opened[entry] == (chat.cut(sizes[:at], room, entry, 0) or [0])[-1]
