@@ -5,8 +5,9 @@ that are never article text (scripts, menus, forms, ...) leave an empty gap
 of several lines.  A line weighs its text outside links.  The sum of weights
 over a sliding window of lines is the distribution: it surges where text
 begins and dives to zero in a gap.  Text between a surge and its dive is
-kept.  On a page with an article element lines outside of it weigh nothing
-and every surge counts; elsewhere surges count from a share of the highest.
+kept.  On a page with an article element every line inside of it is kept, and
+no other; elsewhere a surge counts if it reaches a share of the highest or has
+at least as much text outside links as in them.
 
 Cases: null and empty html and pages without text give an empty string; html
 of any length is read whole; unclosed and unknown elements are read on;
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 WINDOW = 3          # lines summed
-SURGE = 0.25        # of the page's highest window, where no article element says more
+SURGE = 0.25        # of the page's highest window, from where a surge counts whatever its links
 
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
                   r"|<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b)|\Z)|<[!?][^>]*>", re.S | re.I)
@@ -74,8 +75,9 @@ def _boilerplate(name: str, attrs: str, in_article: bool) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(_ATTR, " ", attrs)))
 
 
-def lines(page: str) -> tuple[list[str], list[int], bool]:
-    """Lines of a page, the weight of each, and whether an article element marks them."""
+def lines(page: str) -> tuple[list[str], list[int], list[bool] | None]:
+    """Lines of a page, the weight of each, and whether it is inside an article element
+    (None: the page has none)."""
     page = _OPEN_END.sub("", _RAW.sub("", page))
     tags = [(m.start(), m.end(), bool(m[1] or m[4]), (m[2] or m[5]).lower(), m[3] or m[6] or "") for m in _TAG.finditer(page)]
     # where each container ends: the end tag that balances it
@@ -89,7 +91,7 @@ def lines(page: str) -> tuple[list[str], list[int], bool]:
             close[open_at[name].pop()] = i
     marks = [i for i, t in enumerate(tags) if t[3] in ("article", "main") and not t[2] and i in close]
     articles = [i for i in marks if tags[i][3] == "article"] or marks
-    out, weights, text, weight = [], [], [], 0
+    out, weights, marked, text, weight = [], [], [], [], 0
     link, inside, until, at, ends = 0, 0, -1, 0, []
 
     def end_line(gap: bool = False) -> None:
@@ -98,11 +100,13 @@ def lines(page: str) -> tuple[list[str], list[int], bool]:
         text.clear()
         if line:
             out.append(line)
-            weights.append(weight if inside or not articles else 0)
+            weights.append(weight)
+            marked.append(bool(inside))
         weight = 0
         if gap:
             out.extend([""] * WINDOW)
             weights.extend([0] * WINDOW)
+            marked.extend([False] * WINDOW)
 
     for i, (start, stop, end, name, attrs) in enumerate(tags):
         if i <= until:
@@ -138,21 +142,23 @@ def lines(page: str) -> tuple[list[str], list[int], bool]:
         text.append(rest)
         weight += len(rest.strip())
     end_line()
-    return out, weights, bool(articles)
+    return out, weights, marked if articles else None
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
     out, weights, marked = lines(page or "")
     n = len(out)
+    if marked is not None:
+        return "\n\n".join(x for x, m in zip(out, marked, strict=True) if x and m)
     if not any(weights):
-        return "" if marked or not n else "\n\n".join(x for x in out if x)
+        return "\n\n".join(x for x in out if x)
     total = [0]
     for w in weights:
         total.append(total[-1] + w)
     # the window over line i looks to both sides, so it is zero only in a gap
     half = window // 2
     level = [total[min(n, i + half + 1)] - total[max(0, i - half)] for i in range(n)]
-    least = 1 if marked else max(1, surge * max(level))
+    least = max(1, surge * max(level))
     kept, i = [], 0
     while i < n:
         if level[i] == 0:
@@ -161,12 +167,10 @@ def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> s
         dive = i
         while dive < n and level[dive] > 0:
             dive += 1
-        if max(level[i:dive]) >= least:
-            kept += [j for j in range(i, dive) if out[j] and (weights[j] or not marked or 0 < j < n - 1)]
+        links = sum(max(0, len(out[j]) - weights[j]) for j in range(i, dive))
+        if max(level[i:dive]) >= least or total[dive] - total[i] >= links:
+            kept += [j for j in range(i, dive) if out[j]]
         i = dive
-    if marked:
-        first, last = next(j for j in kept if weights[j]), next(j for j in reversed(kept) if weights[j])
-        kept = [j for j in range(first, last + 1) if out[j]]
     return "\n\n".join(out[j] for j in kept)
 
 

@@ -50,3 +50,19 @@ def test_hard_rows(spark):
                                                   (7, "a < b <3\n\nc<")]
     assert len(next(t for i, t in got if i == 5)) == 5 * 200_000 - 1
     assert T.extract(df.limit(0)).count() == 0
+
+
+def test_linked_headline_and_last_paragraph_stay():
+    page = ('<nav><a href=/>Home</a></nav><div><a href=/x>Other</a></div><article><h1><a href=/t>Linked title</a></h1>'
+            '<p>Body text.</p><p><a href=/s>Linked end</a></p></article><div>Outside</div>')
+    assert T.main_text(page) == "Linked title\n\nBody text.\n\nLinked end"
+    assert T.main_text("<article><p><a href=/t>All linked</a></p></article><p>Outside</p>") == "All linked"
+
+
+def test_short_end_after_an_advert_stays():
+    body = "".join(f"<p>{'Long paragraph of prose that goes on. ' * 13}</p>" for _ in range(3))
+    end = "A short closing paragraph of some sixty characters, no more."
+    page = f"<body><div class=links><a href=1>One</a> | <a href=2>Two</a></div><div class=ad>Buy</div>{body}<div class=ad>Buy now</div><p>{end}</p></body>"
+    got = T.main_text(page).split("\n\n")
+    assert len(got) == 4 and got[-1] == end
+    assert T.main_text(page.replace(end, f"{end}</p><div class=ad>x</div><p><a href=3>Many linked words here</a> and")).split("\n\n") == got
