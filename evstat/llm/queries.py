@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evstat.llm import ann, chat, crf_quality, html_text, mixing, neardup, packing, perplexity, secret_ledger, toxicity
+from evstat.llm import (
+    ann, bpe, chat, crf_quality, hard_negatives, html_text, mixing, neardup, packing, perplexity, secret_ledger, spelling, toxicity,
+)
 from evstat.llm.common import table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """The vocabulary file that the contract names (installed on every machine)."""
     import public_tokenizers
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -84,9 +86,28 @@ def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= F.col("score_limit")).cast("int").alias("rejected"))
 
 
+def op11_angular_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", label), lambda i: i % 100 == 0)
+
+
+def op12_spelling_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("word_bpe_49k.json")
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    out = bpe.decode(coded, path)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_curve_packing, op2_dart_minhash, op3_ngram_perplexity, op4_multiprobe_lsh, op5_line_blocks, op6_chat_windows,
-    op7_secret_ledger, op8_crf_quality, op9_source_mix, op10_toxicity_cnn)}
+    op7_secret_ledger, op8_crf_quality, op9_source_mix, op10_toxicity_cnn, op11_angular_negatives, op12_spelling_grams,
+    op13_segment_tree_bpe)}
 
 ORACLE: dict[str, str] = {
     "op9_source_mix": r"""
@@ -119,5 +140,74 @@ select doc_id, cast(size as bigint) as size, source_size, target,
        cast(full_ * size + case when end_ <= rest then size when end_ - words >= rest then 0
             else least(size, (rest - (end_ - words)) // copies) end as bigint) as taken
 from grp
+""",
+    "op11_angular_negatives": r"""
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as c
+  from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+scores as (
+  select a.vec_id as anchor_id, a.label = x.label as same, x.vec_id as id,
+         cast(list_inner_product(a.c, x.c) as bigint) as score
+  from v a join v x on a.vec_id % 100 = 0 and a.vec_id <> x.vec_id and len(a.c) = len(x.c)),
+pos as (
+  select anchor_id, id, score from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, p.id as positive_id,
+       cast(row_number() over (partition by p.anchor_id, p.id order by n.score desc, n.id) as integer) as rank,
+       n.id as negative_id, p.score as positive_score, n.score as negative_score
+from pos p join scores n on p.anchor_id = n.anchor_id and not n.same
+ and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score
+qualify row_number() over (partition by p.anchor_id, p.id order by n.score desc, n.id) <= 10
+""",
+    "op12_spelling_grams": r"""
+with recursive runs as (
+  select coalesce(cast(doc_id as varchar), '') as id,
+         unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) as run
+  from documents),
+low as (
+  select id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n
+  from runs group by all),
+polys as (  -- the table of the reflected CRC polynomial
+  select range as i, cast(range as bigint) as v, 0 as bit from range(256)
+  union all
+  select i, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end, bit + 1 from polys where bit < 8),
+crc_table as (select list(v order by i) as t from polys where bit = 8),
+coded as (select id, run, n, hex(encode(id || ':' || run)) as bytes from low),
+crcs as (
+  select id, run, n, bytes, 0 as pos, cast(4294967295 as bigint) as crc from coded
+  union all
+  select id, run, n, bytes, pos + 1,
+         xor(crc // 256, t[1 + xor(crc % 256, cast('0x' || substr(bytes, 2 * pos + 1, 2) as bigint))])
+  from crcs, crc_table where 2 * pos < length(bytes)),
+hashed as (select run, n, xor(crc, 4294967295) as h from crcs where 2 * pos = length(bytes)),
+words as materialized (
+  select case when h % 97 = 0 then substr(run, 1, cast(h % length(run) as bigint)) || substr(run, cast(h % length(run) as bigint) + 2)
+              else run end as word, cast(sum(n) as bigint) as n
+  from hashed group by 1 having sum(n) >= 3 and length(word) >= 5),
+less as materialized (  -- every word without one of its letters
+  select distinct word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest
+  from (select word, n, unnest(range(length(word))) as i from words)),
+near as (
+  select a.word, a.n, b.word as near, b.n as near_n
+  from less a join less b on a.rest = b.rest and a.i = b.i and a.word <> b.word and length(a.word) = length(b.word)
+  union
+  select a.word, a.n, b.word, b.n from less a join words b on a.rest = b.word
+  union
+  select b.word, b.n, a.word, a.n from less a join words b on a.rest = b.word),
+seen as (
+  select word, any_value(n) as n, count(*) as n_near, max(near_n) as most,
+         first(near order by near_n desc, encode(near)) as best
+  from near group by word),
+forms as materialized (select word, n_near, case when most >= 2 * n then best end as form, case when most >= 2 * n then most end as form_n from seen),
+walk as (
+  select word, form as at from forms where form is not null
+  union all
+  select w.word, f.form from walk w join forms f on w.at = f.word where f.form is not null),
+last as (select w.word, w.at as root from walk w left join forms f on w.at = f.word where f.form is null)
+select w.word, f.form, coalesce(l.root, w.word) as root, w.n, coalesce(f.n_near, 0) as n_near, cast(f.form_n as bigint) as form_n
+from words w left join forms f on w.word = f.word left join last l on w.word = l.word
 """,
 }
