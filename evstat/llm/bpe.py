@@ -11,7 +11,7 @@ infinite.  So a piece of n symbols costs O(n log n), whatever its length.
 Beyond Latin letters, normal forms and the classes of letters and numbers are the
 library's own, as its Unicode version differs from Python's.
 
-Each task remembers the ids of up to ``REMEMBERED`` short pieces.  Ids and texts are columns
+A Python worker remembers the ids of up to ``REMEMBERED`` short pieces.  Ids and texts are columns
 of arrays and strings; nothing leaves the row.
 
 Cases: a null or empty text has no ids and decodes to the empty string; the
@@ -23,6 +23,7 @@ output column is replaced; empty tables stay empty.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,13 +32,12 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-REMEMBERED = 200_000
-SHORT = 64              # bytes of a piece that is worth remembering
-SLICE = 1 << 16
+REMEMBERED = 1_000_000    # some 200 bytes each
+SHORT = 32              # letters of a piece that is worth remembering
+SLICE = 1 << 16         # pieces; letters of a text whose pieces are listed at once
 
 
 class SegmentTree:
@@ -70,7 +70,9 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
-_BEYOND_LATIN = regex.compile("[^\x00-\u024F\u2010-\u2027\u20AC]")
+_LATIN = [*range(0x250), *range(0x2010, 0x2028), 0x20AC]
+_BEYOND_LATIN = re.compile("[^\x00-\u024F\u2010-\u2027\u20AC]")
+_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
 def _library_normal(text: str) -> str:
@@ -79,24 +81,36 @@ def _library_normal(text: str) -> str:
     return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str(text)
 
 
+def _spelt_out(pattern: str, classes: dict[str, list[int]]) -> re.Pattern:
+    """The pattern with its classes, which it only names inside brackets, as ranges of code points."""
+    for name, points in {**classes, "s": None}.items():
+        inside = _SPACE
+        if points is not None:
+            ends = [i for i in range(len(points)) if i + 1 == len(points) or points[i + 1] != points[i] + 1]
+            starts = [0, *[i + 1 for i in ends[:-1]]]
+            inside = "".join(f"\\U{points[i]:08x}-\\U{points[j]:08x}" for i, j in zip(starts, ends, strict=True))
+        pattern = pattern.replace(r"\s" if name == "s" else rf"\p{{{name}}}", inside)
+    return re.compile(pattern)
+
+
+@lru_cache(maxsize=4)
+def _latin(pattern: str) -> re.Pattern:
+    """For texts of Latin letters only: what they normalise to, classed by this module's tables."""
+    chars = sorted({x for c in _LATIN for x in unicodedata.normalize("NFC", chr(c)).lower()})
+    return _spelt_out(pattern, {k: [ord(c) for c in chars if unicodedata.category(c)[0] == k] for k in "LN"})
+
+
 @lru_cache(maxsize=4)
-def _any_script(pattern: str) -> regex.Pattern:
-    """The pattern with the library's classes of letters and numbers written out as ranges of code points."""
+def _any_script(pattern: str) -> re.Pattern:
+    """For all texts: the library's classes of letters and numbers."""
     from tokenizers import Regex, pre_tokenizers
 
-    for name in ("L", "N"):
+    classes: dict[str, list[int]] = {}
+    for name in "LN":
         split = pre_tokenizers.Split(Regex(rf"\p{{{name}}}"), "removed", invert=True)
-        ranges: list[list[int]] = []
-        for lo in range(0, 0x110000, 0x1000):
-            part = "".join(chr(c) for c in range(lo, lo + 0x1000) if not 0xD800 <= c < 0xE000)
-            for c in (ord(x) for x, _ in split.pre_tokenize_str(part)):
-                if ranges and ranges[-1][1] == c - 1:
-                    ranges[-1][1] = c
-                else:
-                    ranges.append([c, c])
-        inside = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
-        pattern = pattern.replace(rf"[\p{{{name}}}]", f"[{inside}]").replace(rf"\p{{{name}}}", inside)
-    return regex.compile(pattern)
+        whole = ("".join(chr(c) for c in range(lo, lo + 0x800)) for lo in range(0, 0x110000, 0x800) if lo != 0xD800)
+        classes[name] = [ord(x) for part in whole for x, _ in split.pre_tokenize_str(part)]
+    return _spelt_out(pattern, classes)
 
 
 class Encoder:
@@ -115,11 +129,10 @@ class Encoder:
         if not known:
             raise ValueError(f"{path}: not a word-end BPE file of the supported kind")
         self.names = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-        # white space as the library defines it (this module's \s has four control characters more)
-        self.pattern = cuts[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
-        self.latin = regex.compile(self.pattern)
+        self.pattern = cuts[0]["pattern"]["Regex"]
+        self.latin = _latin(self.pattern)
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.special_id = {t["content"]: t["id"] for t in spec["added_tokens"]}
         letters = byte_letters()
         self.inner = [vocab[letters[b]] for b in range(256)]
@@ -134,7 +147,8 @@ class Encoder:
         self.strings = pa.array([self.names.get(i) for i in range(max(self.names) + 1)])
         if self.strings.null_count:
             raise ValueError(f"{path}: ids with gaps")
-        self.memory: dict[str, list[int]] = {}
+        self.recent: dict[str, bytes] = {}      # ids of pieces as 32-bit numbers, in two halves: a full one becomes the older
+        self.older: dict[str, bytes] = {}
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Applies merges, leftmost of the lowest rank first, until none is left."""
@@ -168,37 +182,42 @@ class Encoder:
         inner = self.inner
         return self.merge([inner[b] for b in data[:-1]] + [self.last[data[-1]]])
 
-    def pieces(self, text: str) -> Iterator[regex.Match]:
-        """The pieces of the text in NFC with each code point lowered."""
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """The pieces of the text in NFC with each code point lowered, in lists of bounded length."""
         if _BEYOND_LATIN.search(text) is None:
-            return self.latin.finditer(unicodedata.normalize("NFC", text).lower())
-        return _any_script(self.pattern).finditer(_library_normal(text))
-
-    def _plain(self, text: str) -> Iterator[list[int]]:
-        memory = self.memory
-        pieces = self.pieces(text)
-        while part := [m[0] for m in islice(pieces, SLICE)]:
-            out: list[int] = []
-            for piece in part:
-                ids = memory.get(piece)
-                if ids is None:
-                    ids = self.piece_ids(piece)
-                    if len(piece) <= SHORT:
-                        if len(memory) >= REMEMBERED:
-                            memory.clear()
-                        memory[piece] = ids
-                out += ids
-            yield out
+            pattern, text = self.latin, unicodedata.normalize("NFC", text).lower()
+        else:
+            pattern, text = _any_script(self.pattern), _library_normal(text)
+        if len(text) <= SLICE:
+            yield pattern.findall(text)
+        else:
+            found = pattern.finditer(text)
+            while part := [m[0] for m in islice(found, SLICE)]:
+                yield part
+
+    def _ids(self, piece: str) -> bytes:
+        """The ids of a piece not in ``recent``: from the older half of the memory, or merged."""
+        ids = self.older.get(piece) or np.array(self.piece_ids(piece), np.int32).tobytes()
+        if len(piece) <= SHORT:
+            if len(self.recent) >= REMEMBERED // 2:
+                self.older, self.recent = self.recent, {}
+            self.recent[piece] = ids
+        return ids
+
+    def _plain(self, text: str) -> Iterator[np.ndarray]:
+        for part in self.pieces(text):
+            recent, ids = self.recent.get, self._ids
+            # a full memory changes places with an empty one meanwhile: then ``recent`` is the older half, still right
+            yield np.frombuffer(b"".join([recent(p) or ids(p) for p in part]), np.int32)
 
     def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a text; lists of Python numbers never exceed a slice."""
-        parts: list[list[int]] = []
+        parts: list[np.ndarray] = []
         at = 0
         for m in self.special.finditer(text or "") if self.special else ():
-            parts += [np.array(p, np.int32) for p in self._plain(text[at:m.start()])]
+            parts += self._plain(text[at:m.start()])
             parts.append(np.array([self.special_id[m[0]]], np.int32))
             at = m.end()
-        parts += [np.array(p, np.int32) for p in self._plain((text or "")[at:])]
+        parts += self._plain((text or "")[at:])
         return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
