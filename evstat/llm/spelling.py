@@ -101,19 +101,21 @@ def _deltas(n: int) -> list[int]:
 
 
 def chunks(counts: DataFrame, sets: list[str]) -> DataFrame:
-    """``key, chunk, words``: blocks, those of many letters dealt into several chunks."""
+    """``key, chunk, length, letters, counts``: blocks, those of many letters dealt into several chunks.
+    The words of a chunk have one length; ``letters`` holds them end to end."""
     keyed = materialise(counts.withColumn("key", block_key(F.col("word"), sets)), "spell-keyed")
     size = keyed.groupBy("key").agg(F.ceil(F.sum(F.length("word")) / BLOCK_LETTERS).cast("long").alias("parts"))
     dealt = keyed.join(size, "key").withColumn("chunk", F.pmod(F.xxhash64("word"), F.col("parts")))
-    return materialise(dealt.groupBy("key", "chunk").agg(F.collect_list(F.struct("word", "n")).alias("words")), "spell-chunks")
+    whole = dealt.groupBy("key", "chunk").agg(F.first(F.length("word")).alias("length"), F.collect_list(F.struct("word", "n")).alias("w"))
+    return materialise(whole.select("key", "chunk", "length", F.array_join("w.word", "").alias("letters"), F.col("w.n").alias("counts")),
+                       "spell-chunks")
 
 
 # ---------------------------------------------------------------- pairs
 
-def _points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the words end to end, and where each begins (one entry more)."""
-    flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-    return flat, np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+def points(letters: str, length: int) -> np.ndarray:
+    """Code points of words of one length that stand end to end, a row for each word."""
+    return np.frombuffer(letters.encode("utf-32-le"), np.uint32).reshape(-1, length)
 
 
 def _column_of() -> np.ndarray:
@@ -126,17 +128,16 @@ def _column_of() -> np.ndarray:
 _COLUMN = _column_of()
 
 
-def letter_counts(words: list[str]) -> np.ndarray:
-    flat, at = _points(words)
-    row = np.repeat(np.arange(len(words)), np.diff(at))
-    kind = np.float32 if len(flat) < 1000 * len(words) else np.float64     # sums of squares stay exact
-    return np.bincount(row * COLUMNS + _COLUMN[flat & 0xFF], minlength=len(words) * COLUMNS).reshape(-1, COLUMNS).astype(kind)
+def letter_counts(words: np.ndarray) -> np.ndarray:
+    """A row of COLUMNS letter counts for each row of code points."""
+    n, length = words.shape
+    at = _COLUMN[words & 0xFF] + (np.arange(n) * COLUMNS)[:, None]
+    kind = np.float32 if length < 1000 else np.float64                   # sums of squares stay exact
+    return np.bincount(at.ravel(), minlength=n * COLUMNS).reshape(n, COLUMNS).astype(kind)
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows whose letter counts have a squared distance of at most 2, from one product."""
-    if max(a.max(initial=0), b.max(initial=0)) > 500:
-        a, b = a.astype(np.float64), b.astype(np.float64)
     one = np.ones((len(a), 1), a.dtype)
     left = np.hstack([a, (a * a).sum(1, keepdims=True), one])
     right = np.hstack([-2 * b, np.ones((len(b), 1), b.dtype), (b * b).sum(1, keepdims=True)])
@@ -149,11 +150,9 @@ def close_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, j
 
 
-def one_edit(short: list[str], long: list[str]) -> np.ndarray:
-    """For pairs of one length, or of lengths one apart: whether exactly one edit leads from one to the other."""
-    m, n = len(short[0]), len(long[0])
-    a = np.frombuffer("".join(short).encode("utf-32-le"), np.uint32).reshape(-1, m)
-    b = np.frombuffer("".join(long).encode("utf-32-le"), np.uint32).reshape(-1, n)
+def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows of code points of one length, or ``b`` one longer: whether exactly one edit leads from one to the other."""
+    m, n = a.shape[1], b.shape[1]
     if m == n:
         return (a != b).sum(1) == 1
     same, shifted = a == b[:, :m], a == b[:, 1:]
@@ -162,20 +161,17 @@ def one_edit(short: list[str], long: list[str]) -> np.ndarray:
     return head + tail >= m
 
 
-def near_words(a: list[str], b: list[str] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of near words in two chunks (``b`` None: within the chunk, each pair once).
-    All words of a chunk have one length, ``b``'s is the same or one more."""
-    i, j = close_pairs(letter_counts(a), letter_counts(b if b is not None else a))
-    if b is None:
+def near_words(a: np.ndarray, b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of near words in two chunks of code points (``b`` None: within the chunk, each pair once);
+    ``b``'s words are of the same length or one longer."""
+    own, b = b is None, a if b is None else b
+    i, j = close_pairs(letter_counts(a), letter_counts(b))
+    if own:
         i, j = i[i < j], j[i < j]
-        b = a
     if not len(i):
         return i, j
-    keep = []
-    step = max(1, CELLS // len(b[0]))
-    for lo in range(0, len(i), step):
-        keep.append(one_edit([a[x] for x in i[lo:lo + step]], [b[x] for x in j[lo:lo + step]]))
-    ok = np.concatenate(keep)
+    step = max(1, CELLS // b.shape[1])
+    ok = np.concatenate([one_edit(a[i[lo:lo + step]], b[j[lo:lo + step]]) for lo in range(0, len(i), step)])
     return i[ok], j[ok]
 
 
@@ -184,24 +180,27 @@ _PAIRS = "a string, na long, b string, nb long"
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            a, b = row["words"], row["others"]
-            wa = [x["word"] for x in a]
-            i, j = near_words(wa, None if row["own"] else [x["word"] for x in b])
+        get = {c: batch.column(c) for c in batch.schema.names}
+        for r in range(batch.num_rows):
+            size, size2, own = (get[c][r].as_py() for c in ("length", "length2", "own"))
+            letters, letters2 = get["letters"][r].as_py(), get["letters2"][r].as_py()
+            i, j = near_words(points(letters, size), None if own else points(letters2, size2))
             if len(i):
+                n, n2 = (get[c][r].values.to_numpy() for c in ("counts", "counts2"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([a[x]["word"] for x in i]), pa.array([a[x]["n"] for x in i], pa.int64()),
-                     pa.array([b[x]["word"] for x in j]), pa.array([b[x]["n"] for x in j], pa.int64())], names=["a", "na", "b", "nb"])
+                    [pa.array([letters[x:x + size] for x in (i * size).tolist()]), pa.array(n[i]),
+                     pa.array([letters2[x:x + size2] for x in (j * size2).tolist()]), pa.array(n2[j])], names=["a", "na", "b", "nb"])
 
 
 def near_pairs(blocks: DataFrame, sets: list[str]) -> DataFrame:
     """``a, na, b, nb``: each pair of near words once."""
     deltas = F.array(*[F.lit(d).cast("long") for d in _deltas(len(sets))])
-    home = blocks.select("chunk", "words", F.posexplode(deltas).alias("move", "delta"), "key")
-    home = home.select("chunk", "words", "move", F.pmod(F.col("key") + F.col("delta"), F.lit(_MOD)).alias("key"))
-    other = blocks.select("key", F.col("chunk").alias("chunk2"), F.col("words").alias("others"))
+    kept = ["length", "letters", "counts"]
+    home = blocks.select("chunk", *kept, F.posexplode(deltas).alias("move", "delta"), "key")
+    home = home.withColumn("key", F.pmod(F.col("key") + F.col("delta"), F.lit(_MOD)))
+    other = blocks.select("key", F.col("chunk").alias("chunk2"), *[F.col(c).alias(f"{c}2") for c in kept])
     met = home.join(other, "key").where((F.col("move") > 0) | (F.col("chunk") <= F.col("chunk2")))
-    met = met.select("words", "others", ((F.col("move") == 0) & (F.col("chunk") == F.col("chunk2"))).alias("own"))
+    met = met.select(*kept, *[f"{c}2" for c in kept], ((F.col("move") == 0) & (F.col("chunk") == F.col("chunk2"))).alias("own"))
     with rows_per_batch(blocks.sparkSession, 64):
         return materialise(met.mapInArrow(_compare, _PAIRS), "spell-pairs")
 

@@ -130,7 +130,7 @@ def test_key_column_names_the_block(spark):
 def test_letter_counts_and_distances():
     rng = random.Random(9)
     words = ["".join(rng.choices("abcdéÿ", k=6)) for _ in range(80)]
-    c = spelling.letter_counts(words)
+    c = spelling.letter_counts(spelling.points("".join(words), 6))
     assert c.sum(1).tolist() == [6] * 80
     i, j = spelling.close_pairs(c, c)
     d = ((c[:, None] - c[None]) ** 2).sum(2)
