@@ -5,9 +5,10 @@ that are never article text (scripts, menus, forms, ...) leave an empty gap
 of several lines.  A line weighs its text outside links.  The sum of weights
 over a sliding window of lines is the distribution: it surges where text
 begins and dives to zero in a gap.  Text between a surge and its dive is
-kept.  On a page with an article element every line inside of it is kept, and
-no other; elsewhere a surge counts if it reaches a share of the highest or has
-at least as much text outside links as in them.
+kept if the surge reaches a share of the page's highest or has at least as much
+text outside links as in them.  Article elements are a prior: a gap surrounds each,
+links inside weigh as text, and where no surge outside of them is higher than the
+highest inside, the surges inside are the page's text, all of them.
 
 Cases: null and empty html and pages without text give an empty string; html
 of any length is read whole; unclosed and unknown elements are read on;
@@ -51,6 +52,8 @@ ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment co
 disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo
 promotion related reply respond share sharing sidebar social sponsor sponsored subscribe toolbar widget
 """.split())
+# Those whose parts go even where they hold article elements of their own.
+_OTHERS_WORDS = frozenset("comment comments disqus related reply respond".split())
 _SKIP_ROLES = frozenset("alert banner complementary contentinfo dialog form menu navigation search".split())
 _KEEP = frozenset(["html", "body", "article", "main"])
 
@@ -75,6 +78,11 @@ def _boilerplate(name: str, attrs: str, in_article: bool) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(_ATTR, " ", attrs)))
 
 
+def _by_others(attrs: str) -> bool:
+    named = [next((v for v in values if v), "").lower() for key, *values in _ATTR.findall(attrs) if key.lower() in ("class", "id")]
+    return any(set(re.split(r"[^a-z0-9]+", value)) & _OTHERS_WORDS for value in named)
+
+
 def lines(page: str) -> tuple[list[str], list[int], list[bool] | None]:
     """Lines of a page, the weight of each, and whether it is inside an article element
     (None: the page has none)."""
@@ -116,15 +124,15 @@ def lines(page: str) -> tuple[list[str], list[int], list[bool] | None]:
         at = stop
         if piece:
             text.append(piece)
-            if not link:
+            if not link or inside:
                 weight += len(piece.strip())
         if not end and i in close and _boilerplate(name, attrs, bool(inside)) \
-                and not any(i < j < close[i] for j in articles):
+                and (_by_others(attrs) or not any(i < j < close[i] for j in articles)):
             end_line(gap=True)
             until = close[i]
             continue
         if i in articles or ends and i == ends[-1]:
-            end_line()
+            end_line(gap=True)
             if end:
                 ends.pop()
                 inside -= 1
@@ -148,8 +156,6 @@ def lines(page: str) -> tuple[list[str], list[int], list[bool] | None]:
 def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
     out, weights, marked = lines(page or "")
     n = len(out)
-    if marked is not None:
-        return "\n\n".join(x for x, m in zip(out, marked, strict=True) if x and m)
     if not any(weights):
         return "\n\n".join(x for x in out if x)
     total = [0]
@@ -158,8 +164,7 @@ def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> s
     # the window over line i looks to both sides, so it is zero only in a gap
     half = window // 2
     level = [total[min(n, i + half + 1)] - total[max(0, i - half)] for i in range(n)]
-    least = max(1, surge * max(level))
-    kept, i = [], 0
+    surges, i = [], 0                       # (first line, dive, peak, inside an article)
     while i < n:
         if level[i] == 0:
             i += 1
@@ -167,11 +172,16 @@ def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> s
         dive = i
         while dive < n and level[dive] > 0:
             dive += 1
-        links = sum(max(0, len(out[j]) - weights[j]) for j in range(i, dive))
-        if max(level[i:dive]) >= least or total[dive] - total[i] >= links:
-            kept += [j for j in range(i, dive) if out[j]]
+        surges.append((i, dive, max(level[i:dive]), marked is not None and any(marked[i:dive])))
         i = dive
-    return "\n\n".join(out[j] for j in kept)
+    highest = max(peak for _, _, peak, _ in surges)
+    if any(inside and peak == highest for _, _, peak, inside in surges):
+        chosen = [(i, dive) for i, dive, _, inside in surges if inside]
+    else:
+        links = lambda i, dive: sum(max(0, len(out[j]) - weights[j]) for j in range(i, dive))
+        chosen = [(i, dive) for i, dive, peak, _ in surges
+                  if peak >= max(1, surge * highest) or total[dive] - total[i] >= links(i, dive)]
+    return "\n\n".join(out[j] for i, dive in chosen for j in range(i, dive) if out[j])
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: Sequence[str] = ("page_id", "url"), out: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import html as H
+import random
 import re
 
 from conftest import SF_SMALL
@@ -30,8 +31,9 @@ and <a href="x">link</a>.</p><div class="ad">Buy now</div><script>var t="</p>";<
 
 def test_boilerplate_goes():
     want = ["Title & more", "First para with bold and link.", "One.", "item <one>", "item two", "Last para"]
-    assert T.main_text(PAGE.replace('<section class="comments"><article><p>I disagree</p></article></section>',
-                                    '<section class="comments"><p>I disagree</p></section>')) == "\n\n".join(want)
+    assert T.main_text(PAGE) == "\n\n".join(want)
+    nested = PAGE.replace("<aside>Aside", '<aside class="x">Aside').replace("</article></div>", '<div id="comments"><article><p>Nested reply</p></article></div></article></div>')
+    assert T.main_text(nested) == "\n\n".join(want)
 
 
 def test_pages_without_article():
@@ -66,3 +68,45 @@ def test_short_end_after_an_advert_stays():
     got = T.main_text(page).split("\n\n")
     assert len(got) == 4 and got[-1] == end
     assert T.main_text(page.replace(end, f"{end}</p><div class=ad>x</div><p><a href=3>Many linked words here</a> and")).split("\n\n") == got
+
+
+def test_pages_whose_text_is_outside_the_article_elements():
+    """Teaser cards as article elements: the higher surge wins, not the element."""
+    body = "".join(f"<p>{'Prose of the main text that goes on and on. ' * 8}</p>" for _ in range(4))
+    cards = "".join(f"<article><h3><a href=/{i}>Card {i}</a></h3><p>More</p></article>" for i in range(3))
+    got = T.main_text(f"<body><div>{body}</div><div>{cards}</div></body>").split("\n\n")
+    assert len([x for x in got if x.startswith("Prose")]) == 4
+
+
+def test_given_pages_without_their_markers(spark):
+    """The distribution alone finds the article of each given page: same text with the elements renamed."""
+    for r in spark.read.parquet(f"{SF_SMALL}/pages.parquet").collect():
+        plain = re.sub(r"<(/?)(article|main)\b", r"<\1div", r.html)
+        assert T.main_text(plain) == T.main_text(r.html) != ""
+
+
+def brute_windows(parts, window=3):
+    """Lines as (text, linked); None is a gap.  The level of each line is summed anew; runs of positive levels are judged."""
+    lines = [x for p in parts for x in ([p] if p else [("", False)] * window)]
+    weight = [0 if linked else len(t) for t, linked in lines]
+    level = [sum(weight[max(0, i - 1):i + 2]) for i in range(len(lines))]
+    runs, kept = [], []
+    for i, x in enumerate(level):
+        if x and (not i or not level[i - 1]):
+            runs.append([])
+        if x:
+            runs[-1].append(i)
+    for run in runs:
+        own, links = sum(weight[i] for i in run), sum(len(lines[i][0]) for i in run if lines[i][1])
+        if max(level[i] for i in run) >= 0.25 * max(level) or own >= links:
+            kept += [lines[i][0] for i in run if lines[i][0]]
+    return "\n\n".join(kept)
+
+
+def test_against_brute_force_windows():
+    rng = random.Random(8)
+    for _ in range(300):
+        parts = [None if rng.random() < 0.25 else (" ".join(["word"] * rng.choice([1, 2, 5, 30, 80])), rng.random() < 0.4) for _ in range(rng.randint(1, 14))]
+        page = "".join("<nav>x</nav>" if p is None else f"<p><a href=1>{p[0]}</a></p>" if p[1] else f"<p>{p[0]}</p>" for p in parts)
+        if any(p and not p[1] for p in parts):
+            assert T.main_text(page) == brute_windows(parts), page
