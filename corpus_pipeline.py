@@ -20,14 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evstat.llm import mixing, neardup, packing, secret_ledger, toxicity
-from evstat.llm.common import materialise, table
+from evstat.llm.common import fresh, materialise, table
 from evstat.llm.queries import held_out, tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    scored = toxicity.score(docs, model, out="_toxic")
-    return scored.where(F.col("_toxic") < F.col("_toxic_limit")).select(*docs.columns)
+    score = fresh(docs, "_toxic")
+    scored = toxicity.score(docs, model, out=score)
+    return scored.where(F.col(score) < F.col(f"{score}_limit")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,16 +37,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = secret_ledger.found_in(docs)
-    rows = secret_ledger.join_back(docs, secret_ledger.blob_col("text"), found, out="_secrets")
-    hit = F.size("_secrets") > 0
-    text = F.when(hit, secret_ledger.redact(F.col("text"), F.col("_secrets"))).otherwise(F.col("text"))
+    spans = fresh(docs, "_secrets")
+    rows = secret_ledger.join_back(docs, secret_ledger.blob_col("text"), found, out=spans)
+    hit = F.size(spans) > 0
+    text = F.when(hit, secret_ledger.redact(F.col("text"), F.col(spans))).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
     rows = rows.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.repeat_rows(mixing.mix(docs), docs.columns)
+    prefix = fresh(docs, "mix_")
+    return mixing.repeat_rows(mixing.mix(docs, prefix=prefix), docs.columns, prefix=prefix)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, with which no column of ``df`` begins, whatever its case and leading underscores."""
+    plain = lambda x: x.lower().lstrip("_")
+    while any(plain(c).startswith(plain(name)) for c in df.columns):
+        name = f"x{name}"
+    return name
+
+
+def any_rows(df: DataFrame) -> bool:
+    return df.limit(1).count() > 0
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 

@@ -39,7 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evstat.llm.common import RangeHash, content_key, materialise, mix, rows_per_batch, text_slices, window_hashes, word_bounds
+from evstat.llm.common import (
+    RangeHash, any_rows, content_key, fresh, materialise, mix, rows_per_batch, text_slices, window_hashes, word_bounds,
+)
 from evstat.llm.components import components
 
 WORDS = 5
@@ -236,6 +238,8 @@ def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
     across = materialise(ends.where("comp_a <> comp_b")
                          .select(F.least("comp_a", "comp_b").alias("a"), F.greatest("comp_a", "comp_b").alias("b")).distinct(),
                          "dup-across")
+    if not any_rows(across):
+        return label
     risen = components(across).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
     return materialise(label.join(risen, "comp", "left").select("uid", F.coalesce("top", "comp").alias("comp")),
                        "dup-label")
@@ -270,12 +274,14 @@ def content_classes(texts: DataFrame, *, similarity: float = SIMILARITY, width:
         open_ = materialise(now.join(mixed.select("bucket", "top.lead", F.col("top.comp").alias("lead_comp")), "bucket"),
                             "dup-open")
         links = None
-        active = open_.select("bucket", "uid")    # a bucket of one component stays so
+        if not any_rows(open_):                   # a bucket of one component stays so
+            break
+        active = open_.select("bucket", "uid")
         if last:
             held = open_.groupBy("bucket").agg(F.count("*").alias("n"))
             sized = open_.join(held, "bucket")
             large = sized.where(F.col("n") > LISTED)
-            if large.limit(1).count():
+            if any_rows(large):
                 links = _verify_blocks(large, bags, similarity)
             small = sized.where(F.col("n") <= LISTED)
             other = small.select(F.col("bucket").alias("bucket2"), F.col("uid").alias("lead2"), F.col("comp").alias("comp2"))
@@ -286,9 +292,12 @@ def content_classes(texts: DataFrame, *, similarity: float = SIMILARITY, width:
             pairs = (open_.where("comp <> lead_comp").groupBy("uid", "lead_comp").agg(F.min_by("lead", F.xxhash64("lead", "uid", F.lit(turn))).alias("lead"))
                      .select(*pair("lead", "uid")))
         pairs = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "dup-tried")
-        found = _verify(pairs, bags, similarity)
-        label = _merged(label, found if links is None else links.union(found))
-        tried = tried.union(pairs)
+        if any_rows(pairs):
+            found = _verify(pairs, bags, similarity)
+            links = found if links is None else links.union(found)
+            tried = tried.union(pairs)
+        if links is not None:
+            label = _merged(label, links)
     return contents.select("uid", "cid").join(label, "uid").select("cid", "comp")
 
 
@@ -314,18 +323,17 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how)
     """``docs`` with one row of each class: the smallest id (ties: smallest row hash);
     rows without words all stay."""
     cols = docs.columns
-    tie = F.xxhash64(*[F.col(c) for c in cols])
-    mark = docs.withColumn("_dup_cid", content_key(text)).withColumn("_dup_tie", tie)
-    classes = materialise(content_classes(mark.select(F.col("_dup_cid").alias("cid"), F.col(text).alias("text")), **how),
-                          "dup-classes").select(F.col("cid").alias("_c"), F.col("comp").alias("_comp"))
-    light = mark.select("_dup_cid", "_dup_tie", F.col(doc_id).alias("_id"))
-    first = (light.join(classes, F.col("_dup_cid") == F.col("_c"))
-             .groupBy("_comp").agg(F.min_by(F.struct("_dup_cid", "_dup_tie"),
-                                            F.struct(F.col("_id").isNull(), "_id", "_dup_tie")).alias("x")))
-    first = materialise(first.select("x.*").withColumnRenamed("_dup_cid", "_k").withColumnRenamed("_dup_tie", "_t"),
-                        "dup-kept")
+    name = fresh(docs, "_dup")
+    cid, tie, of_cid, of_tie = (f"{name}_{c}" for c in ("cid", "tie", "of_cid", "of_tie"))
+    mark = docs.withColumns({cid: content_key(text), tie: F.xxhash64(*[F.col(c) for c in cols])})
+    classes = materialise(content_classes(mark.select(F.col(cid).alias("cid"), F.col(text).alias("text")), **how), "dup-classes")
+    light = mark.select(F.col(cid).alias("cid"), F.col(tie).alias("tie"), F.col(doc_id).alias("id"))
+    first = (light.join(classes, "cid").groupBy("comp")
+             .agg(F.min_by(F.struct(F.col("cid").alias(of_cid), F.col("tie").alias(of_tie)),
+                           F.struct(F.col("id").isNull(), "id", "tie")).alias("x")))
+    first = materialise(first.select("x.*"), "dup-kept")
     has_words = F.regexp_like(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
     kept = (mark.where(has_words)
-            .join(first, (F.col("_dup_cid") == F.col("_k")) & (F.col("_dup_tie") == F.col("_t")), "left_semi")
-            .dropDuplicates(["_dup_cid", "_dup_tie"]))
+            .join(first, (F.col(cid) == F.col(of_cid)) & (F.col(tie) == F.col(of_tie)), "left_semi")
+            .dropDuplicates([cid, tie]))
     return kept.select(*cols).unionByName(mark.where(~has_words).select(*cols))
