@@ -3,9 +3,11 @@ word hashing over Arrow string columns (used inside ``mapInArrow`` tasks)."""
 
 from __future__ import annotations
 
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -169,8 +171,8 @@ def content_key(text: str = "text"):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, text_bytes: int,
-                    doc_id: str = "doc_id", text: str = "text", lang: str | None = None) -> list:
-    """A bounded training sample as rows ``(text, label, lang)``: of each label 1 and 0 the
+                    doc_id: str = "doc_id", text: str = "text", lang: str | None = None) -> DataFrame:
+    """A bounded training sample ``y, h, text, lang``: of each label 1 and 0 the
     first ``rows / 2`` ids by hash.  Where their texts exceed ``text_bytes / 2`` together, the
     longest are left out, as few as that needs: one long text costs at most itself, and a label
     has no rows only if each of its chosen texts exceeds ``text_bytes / 2`` alone."""
@@ -190,4 +192,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, t
               .where(F.col("nr") <= rows // 2))
     shortest = Window.partitionBy("y").orderBy("size", "nr").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kept = picked.withColumn("sum", F.sum("size").over(shortest)).where(F.col("sum") <= text_bytes // 2)
-    return sorted(kept.select("y", "h", "text", "lang").collect(), key=lambda r: (-r["y"], r["h"], r["text"]))
+    return kept.select("y", "h", "text", "lang")
+
+
+def trained(sample: DataFrame, train: Callable[[list[dict]], Any]) -> Any:
+    """``train`` on the rows of a bounded sample, label 1 first, then by hash and text.
+
+    It runs in one task, so the driver holds neither the sample nor what training needs,
+    and a lost executor costs a retry.  Only the model comes back.
+    """
+    order = lambda rows: sorted(rows, key=lambda r: (-r["y"], r["h"], r["text"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = order(r for batch in batches for r in batch.to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else train([])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from evstat.llm.common import RangeHash, labelled_sample, text_slices, word_bounds
+from evstat.llm.common import RangeHash, labelled_sample, text_slices, trained, word_bounds
 
 TRAIN_ROWS = 3000          # labelled rows collected for training, by hash order
 TRAIN_BYTES = 24_000_000
@@ -203,8 +203,8 @@ def score_texts(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
         rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_BYTES) -> Model:
     """Train on a bounded sample of the labelled rows (see ``labelled_sample``)."""
-    picked = labelled_sample(docs, labels, label, rows, text_bytes, doc_id, text)
-    return train([p["text"] for p in picked], np.array([p["y"] for p in picked], dtype=np.int64))
+    sample = labelled_sample(docs, labels, label, rows, text_bytes, doc_id, text)
+    return trained(sample, lambda picked: train([p["text"] for p in picked], np.array([p["y"] for p in picked], dtype=np.int64)))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

@@ -108,5 +108,5 @@ def test_one_huge_text_a_label_costs_only_itself(spark):
         first.setdefault(r.y, r.id)
     rows = [(i, "long " * 2000 if i in first.values() else f"text {i}", i % 2) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, y int")
-    got = labelled_sample(df.select("doc_id", "text"), df.select("doc_id", "y"), "y", 40, 10_000)
+    got = labelled_sample(df.select("doc_id", "text"), df.select("doc_id", "y"), "y", 40, 10_000).collect()
     assert sorted(r.text for r in got) == sorted(t for i, t, _ in rows if i not in first.values())
