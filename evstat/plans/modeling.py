@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evstat.functions import exprs as X
-from evstat.operators import chisq, describe, features as feat, metrics, models, prep, tune
+from evstat.operators import chisq, describe, features as feat, gram, metrics, models, prep, tune
 from evstat.plans.catalog import query
 from evstat.plans.tables import CODE_SQL, COUNTRY_SQL, code_col, country_col, lineitem_key, table
 from evstat.session import scratch_path
@@ -562,51 +562,131 @@ def linreg_without_category_mllib(spark: SparkSession, sf: str) -> DataFrame:
     return _mllib_terms(spark, li.select("l_quantity", "l_extendedprice"))
 
 
-@query("linreg_three_features")
-def linreg_three_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Linear regression of the tone on the three indexed case-3 features (V13 table)."""
-    src = chi_input(spark, sf)
-    stages = feat.index_and_assemble(["is_same", "scale", "discount"])
-    m = models.fit_pipeline(stages + [models.linear_regression(label="AvgTone")], src)
-    return models.coefficients_table(spark, m.stages[-1])
+# Elastic net of two or three features in closed form: with the signs of the coefficients known, the
+# optimality conditions are linear.  Weights are small against the penalty only if a coefficient is 0.
+def _index_cte(name: str, col: str, source: str) -> str:
+    return (f"{name} as (select {col} as v, cast(row_number() over (order by count(*) desc, {col}) - 1 as double) as i "
+            f"from {source} group by 1)")
 
 
-@query("linreg_indexed")
+_NET_SQL = """
+p as (select 0.8 * 0.3 / sy as l1, 1 + 0.2 * 0.3 / sy as a, * from m),
+dets as (select *, a*a*a + 2*r12*r13*r23 - a*(r12*r12 + r13*r13 + r23*r23) as det,
+                a*a - r23*r23 as i11, r13*r23 - a*r12 as i12, r12*r23 - a*r13 as i13,
+                a*a - r13*r13 as i22, r12*r13 - a*r23 as i23, a*a - r12*r12 as i33 from p),
+signs as (select *, r1 - l1 * sign((i11*r1 + i12*r2 + i13*r3) / det) as h1,
+                 r2 - l1 * sign((i12*r1 + i22*r2 + i23*r3) / det) as h2,
+                 r3 - l1 * sign((i13*r1 + i23*r2 + i33*r3) / det) as h3 from dets),
+fit as (select (i11*h1 + i12*h2 + i13*h3) / det * sy / s1 as b1, (i12*h1 + i22*h2 + i23*h3) / det * sy / s2 as b2,
+               (i13*h1 + i23*h2 + i33*h3) / det * sy / s3 as b3, * from signs)
+"""
+
+
+@query("linreg_three_features", f"""with {_CHI_SRC_SQL.replace("end as ToneLevel", "end as ToneLevel, l_extendedprice as y")},
+{_index_cte("f1", "is_same", "d")}, {_index_cte("f2", "scale", "d")}, {_index_cte("f3", "discount", "d")},
+x as (select f1.i as x1, f2.i as x2, f3.i as x3, y from d join f1 on d.is_same = f1.v join f2 on d.scale = f2.v join f3 on d.discount = f3.v),
+m as (select avg(x1) as m1, avg(x2) as m2, avg(x3) as m3, avg(y) as my, stddev_pop(x1) as s1, stddev_pop(x2) as s2, stddev_pop(x3) as s3,
+             stddev_pop(y) as sy, corr(x1, x2) as r12, corr(x1, x3) as r13, corr(x2, x3) as r23, corr(x1, y) as r1, corr(x2, y) as r2,
+             corr(x3, y) as r3 from x),
+{_NET_SQL}
+select 0 as slot, round(b1, 5) as coefficient from fit union all select 1, round(b2, 5) from fit union all select 2, round(b3, 5) from fit
+union all select -1, round(my - b1 * m1 - b2 * m2 - b3 * m3, 4) from fit
+""")
+def linreg_three_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Elastic net of the tone on the three indexed case-3 features, from one pass of
+    cross-moments (slot -1: intercept)."""
+    src = chi_input(spark, sf)
+    m = models.fit_pipeline(feat.index_and_assemble(["is_same", "scale", "discount"]), src)
+    rows = models.score(m, src).select(gram.items("features").alias("items"), F.col("AvgTone").alias("label"))
+    digits = F.when(F.col("slot") == gram.CONST, F.round("coefficient", 4)).otherwise(F.round("coefficient", 5))
+    return gram.fit_table(rows).select("slot", digits.alias("coefficient"))
+
+
+@query("linreg_indexed", f"""with {_index_cte("f2", "l_returnflag", "lineitem")},
+x as (select l_orderkey, l_linenumber, l_quantity as x1, f2.i as x2, l_extendedprice as y from lineitem join f2 on l_returnflag = f2.v),
+m as (select avg(x1) as m1, avg(x2) as m2, avg(y) as my, stddev_pop(x1) as s1, stddev_pop(x2) as s2, 1.0::double as s3, stddev_pop(y) as sy,
+             corr(x1, x2) as r12, 0.0::double as r13, 0.0::double as r23, corr(x1, y) as r1, corr(x2, y) as r2, 0.0::double as r3 from x),
+{_NET_SQL}
+select l_orderkey, l_linenumber, l_quantity, l_returnflag, round(my + b1 * (l_quantity - m1) + b2 * (f2.i - m2), 4) as prediction
+from lineitem join f2 on l_returnflag = f2.v, fit
+""")
 def linreg_indexed(spark: SparkSession, sf: str) -> DataFrame:
-    """R2: price on quantity plus the string-indexed return flag, scored."""
+    """R2: price on quantity plus the string-indexed return flag, from cross-moments, scored."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity",
                                               "l_returnflag", "l_extendedprice")
     stages = [StringIndexer(inputCol="l_returnflag", outputCol="flag_idx", handleInvalid="keep"),
-              feat.assembler(["l_quantity", "flag_idx"]),
-              models.linear_regression(label="l_extendedprice")]
-    m = models.fit_pipeline(stages, li)
-    return models.score(m, li).select("l_orderkey", "l_linenumber", "l_extendedprice", "prediction")
+              feat.assembler(["l_quantity", "flag_idx"])]
+    rows = models.score(models.fit_pipeline(stages, li), li).withColumn("items", gram.items("features"))
+    fitted = gram.fit_table(rows, label="l_extendedprice")
+    return rows.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag",
+                       F.round(gram.predict("items", fitted), 4).alias("prediction"))
 
 
-@query("linreg_hashed")
-def linreg_hashed(spark: SparkSession, sf: str) -> DataFrame:
-    """Hashed categories + scale, price as label (maxIter 10)."""
-    df = _model_frame(spark, sf)
-    pipe, _, _ = tune.hashed_regression(
-        ["Actor1Code", "Actor1CountryCode", "ActionGeo_CountryCode", "GoldsteinScale"], "AvgTone")
-    m = models.fit_pipeline(pipe.getStages(), df)
-    return models.score(m, df).select("l_orderkey", "l_linenumber", "AvgTone", "prediction")
+_HASHED = ["Actor1Code", "Actor1CountryCode", "ActionGeo_CountryCode", "GoldsteinScale"]
 
 
-@query("cv_grid")
-def cv_grid(spark: SparkSession, sf: str, points: int | None = None) -> DataFrame:
-    """5-fold search over the 72-point grid (or its first ``points``, for tests)
-    on nine of ten id buckets of the whole table; ranked table."""
+def _hashed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    hashed = feat.hasher(_HASHED, "features", 1000).transform(_model_frame(spark, sf))
+    return hashed.withColumn("items", gram.items("features"))
+
+
+@query("linreg_hashed")
+def linreg_hashed(spark: SparkSession, sf: str) -> DataFrame:
+    """Hashed categories + scale, price as label, least squares from cross-moments."""
+    rows = _hashed_rows(spark, sf)
+    p = gram.predict("items", gram.fit_table(rows, label="AvgTone", reg=0.0, net=0.0))
+    return rows.select("l_orderkey", "l_linenumber", "AvgTone", p.alias("prediction"))
+
+
+@query("linreg_hashed_residuals", f"""
+with l as (select coalesce({CODE_SQL}, {COUNTRY_SQL}) as a, {COUNTRY_SQL} as c, cast(l_discount as varchar) as g from lineitem)
+select 'Actor1Code' as feature, a as level, count(*) as n, 0.0::double as mean_residual from l group by a
+union all select 'Actor1CountryCode', c, count(*), 0.0 from l group by c
+union all select 'ActionGeo_CountryCode', g, count(*), 0.0 from l group by g
+union all select 'GoldsteinScale', 'times residual', count(*), 0.0 from l
+""")
+def linreg_hashed_residuals(spark: SparkSession, sf: str) -> DataFrame:
+    """R5's optimality on the rows: a least-squares fit leaves no mean residual in any level
+    of a hashed category, and none weighed by the scale."""
+    rows = _hashed_rows(spark, sf)
+    p = gram.predict("items", gram.fit_table(rows, label="AvgTone", reg=0.0, net=0.0))
+    r = F.col("AvgTone") - p
+    levels = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("level"), r.alias("r")) for c in _HASHED[:3]]
+    scale = F.struct(F.lit("GoldsteinScale").alias("feature"), F.lit("times residual").alias("level"), (r * F.col("GoldsteinScale")).alias("r"))
+    each = rows.select(F.inline(F.array(*levels, scale)))
+    return each.groupBy("feature", "level").agg(F.count("*").alias("n"), F.round(F.abs(F.avg("r")), 4).alias("mean_residual"))
+
+
+def _grid_fits(spark: SparkSession, sf: str) -> DataFrame:
+    """The 72-point grid, 5 folds, on nine of ten id buckets of the whole table: one read."""
     df = _model_frame(spark, sf).withColumns({
         "label": X.rescale("AvgTone", 20, 40),
         # deterministic folds: recomputing a lost partition gives the same split
         "fold": prep.shard_key(F.struct("l_orderkey", "l_linenumber"), tune.NUM_FOLDS).cast("int")})
     train = prep.hash_split(df, "l_orderkey", 1, 10, exact=True).where(F.col("part") == "train")
-    pipe, h, lr = tune.hashed_regression(
-        ["Actor1Code", "Actor1CountryCode", "ActionGeo_CountryCode", "GoldsteinScale"], "label")
-    grid = tune.param_grid(h, lr)[:points]
-    cvm = tune.cross_validate(pipe, grid, train, "label", parallelism=tune.PARALLELISM, fold_col="fold")
-    return tune.grid_table(spark, cvm)
+    for k in tune.GRID_NUM_FEATURES:
+        train = feat.hasher(_HASHED, f"hashed_{k}", k).transform(train)
+    return gram.search(train, {k: f"hashed_{k}" for k in tune.GRID_NUM_FEATURES}, "label", "fold",
+                       tune.GRID_REG_PARAM, tune.GRID_FIT_INTERCEPT, tune.GRID_ELASTIC_NET)
+
+
+@query("cv_grid")
+def cv_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """5-fold search over the 72-point grid from one pass of cross-moments; ranked table."""
+    return gram.ranked(_grid_fits(spark, sf))
+
+
+@query("cv_grid_optimality", """
+with held as (select count(*) as n from lineitem where l_orderkey % 10 <> 0)
+select r.reg_param, f.fit_intercept, e.elastic_net, k.num_features, cast(5 as bigint) as folds, cast(held.n as bigint) as rows_held, true as optimal
+from (values (0.0::double), (0.1), (0.3), (0.5)) r(reg_param), (values (true), (false)) f(fit_intercept),
+     (values (0.0::double), (0.5), (1.0)) e(elastic_net), (values (1000), (3000), (5000)) k(num_features), held
+""")
+def cv_grid_optimality(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fit of the search meets its KKT conditions, and the folds hold every row once."""
+    point = ["reg_param", "fit_intercept", "elastic_net", "num_features"]
+    return _grid_fits(spark, sf).groupBy(*point).agg(
+        F.count("*").alias("folds"), F.sum("n").cast("long").alias("rows_held"), (F.max("violation") < 1e-8).alias("optimal"))
 
 
 @query("model_roundtrip")

@@ -267,7 +267,7 @@ def test_feature_hasher_size_sum_determinism(spark):
 def test_perceptron_and_logistic_properties(spark):
     from evstat.plans.modeling import logistic, mlp
     m = mlp(spark, SF_SMALL)
-    assert m.count() == spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
+    assert m.count() == spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").where("l_orderkey % 10 = 0").count()   # the test tenth
     assert {r.prediction for r in m.select("prediction").distinct().collect()} <= {0.0, 1.0}
     lg = logistic(spark, SF_SMALL)
     labels = {r.label for r in lg.select("label").distinct().collect()}

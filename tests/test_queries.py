@@ -11,7 +11,6 @@ from conftest import SF_ORACLE
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
-SLOW = {"cv_grid"}   # runs below on a few points, in full in the bench
 
 
 @pytest.fixture(scope="module")
@@ -55,19 +54,12 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_rows_only_queries_run(spark, name):
     from conftest import SF_SMALL
     assert entry.queries()[name](spark, SF_SMALL).count() > 0
 
 
-def test_grid_search_on_a_few_points(spark):
-    from conftest import SF_SMALL
-    from evstat.plans import modeling
-    rows = modeling.cv_grid(spark, SF_SMALL, points=3).collect()
-    assert len(rows) == 3
-
-
 def test_model_queries_take_the_whole_table(spark, monkeypatch):
     from conftest import SF_SMALL
     from evstat.plans import modeling
@@ -85,7 +77,7 @@ def test_model_queries_take_the_whole_table(spark, monkeypatch):
 
     spy(modeling.models, "fit_pipeline", 1)
     spy(modeling.models, "score", 1)
-    spy(modeling.tune, "cross_validate", 2)
+    spy(modeling.gram, "search", 0)
     modeling.model_roundtrip(spark, SF_SMALL).count()
-    modeling.cv_grid(spark, SF_SMALL, points=1)
-    assert seen == {"fit_pipeline": len(keys) - held, "score": held, "cross_validate": len(keys) - held}
+    assert modeling.cv_grid(spark, SF_SMALL).count() == 72
+    assert seen == {"fit_pipeline": len(keys) - held, "score": held, "search": len(keys) - held}
