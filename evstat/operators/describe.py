@@ -103,8 +103,8 @@ def summary_exact(df: DataFrame, cols: Sequence[str] | None = None,
     input column.  Text columns are read as numbers with ``try_cast``, so
     values that are not numbers are skipped instead of failing under ANSI
     (trap T16); ``count`` counts non-null cells as ``df.summary`` does.
-    Moments come from one aggregate; each percentile from the bucket
-    narrowing of ``operators.quantiles`` (no column is ever gathered).
+    Moments come from one aggregate; each percentile from ``operators.quantiles``,
+    one more read (no column is ever gathered).
     """
     cols = list(cols or df.columns)
     pct = {s: float(s.rstrip("%")) / 100.0 for s in stats if s.endswith("%")}
@@ -117,7 +117,7 @@ def summary_exact(df: DataFrame, cols: Sequence[str] | None = None,
                  F.min(x).alias(f"min_{i}"),
                  F.max(x).alias(f"max_{i}")]
         if pct:
-            aggs += head_columns(x, i)  # quantile heads ride along: one pass fewer
+            aggs += head_columns(x, i, list(pct.values()))  # sketches ride along: one read fewer
     head = df.agg(*aggs).first()
     qs: dict[str, list] = {}
     if pct:

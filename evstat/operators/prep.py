@@ -202,7 +202,7 @@ def with_quantile_cuts(df: DataFrame, col: str, probs: Sequence[float],
                        exact: bool = True) -> DataFrame:
     """Attach quantiles of ``col`` as constant columns (two-pass, E15).
 
-    ``exact=True``: interpolated exact quantiles found by bucket narrowing
+    ``exact=True``: interpolated exact quantiles found by sketch brackets
     (``operators.quantiles``); the few resulting numbers become literals.
     ``exact=False``: the GK sketch (``percentile_approx``) as a scalar
     subquery.  Neither gathers the column nor joins it with anything.

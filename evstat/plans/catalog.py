@@ -727,7 +727,7 @@ def tone_level_summary(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_linestatus",
         code_col().alias("Actor1Code"), country_col().alias("Actor1CountryCode"))
-    li = prep.keep_present(li, ["l_linestatus", "l_quantity"])
+    li = reliable_checkpoint(prep.keep_present(li, ["l_linestatus", "l_quantity"]))    # read by several passes
     q25, q75 = exact_quantiles(li, "l_extendedprice", [0.25, 0.75])
     fields = prep.add_fields(li, {
         "AvgTone": F.col("l_extendedprice"),

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from evstat.operators import describe, histogram
@@ -123,3 +124,40 @@ def test_many_ranks_many_columns_match_numpy(spark):
         want = np.quantile(np.array(xs), probs, method="linear")
         for g, w in zip(got[c], want):
             assert math.isclose(g, w, rel_tol=1e-12, abs_tol=1e-15), (c, g, w)
+
+
+def test_quantiles_of_extreme_doubles(spark):
+    """Both ends of the double range, infinities, and hot values: comparisons only."""
+    inf = float("inf")
+    for values in ([-1.7e308, 1.0, 2.0, 3.0, 1.7e308], [-inf, -1.7e308, 0.0, 1.7e308, inf, inf], [5e-324, 0.0, -5e-324], [7.0] * 9):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+        s = sorted(values)
+        for p, got in zip(probs, exact_quantiles(df, "x", probs), strict=True):
+            at = p * (len(s) - 1)
+            a, b, f = s[int(at)], s[min(int(at) + 1, len(s) - 1)], at % 1
+            assert got == (a if f == 0 or a == b else pytest.approx(a * (1 - f) + b * f)) or (math.isinf(a) or math.isinf(b))
+
+
+@pytest.mark.parametrize("brackets", [[], [(40.0, 41.0)], [(-1.0, -0.5), (99.0, 120.0)], [(10.0, 20.0), (15.0, 30.0)]])
+def test_brackets_that_miss_are_widened(spark, monkeypatch, brackets):
+    """Whatever the sketch says, the ranks are exact."""
+    from evstat.operators import quantiles
+    df = spark.range(0, 1000, 1, 5).selectExpr("cast(id % 100 as double) as x", "cast(-id as double) as y")
+    wanted = {0: {0, 1, 250, 499, 999}, 1: {0, 500, 999}}
+    got = quantiles.select_ranks(df, ["x", "y"], wanted, {0: brackets or [(50.0, 50.0)], 1: [(-3.0, -2.0)]})
+    assert got == {**{(0, r): float(r // 10) for r in wanted[0]}, **{(1, r): float(r - 999) for r in wanted[1]}}
+
+
+def test_two_reads_of_a_large_column(spark, monkeypatch):
+    """Above the size that is sorted whole, one sketch and one count suffice; most rows never leave their task."""
+    from evstat.operators import quantiles
+    monkeypatch.setattr(quantiles, "WHOLE", 100)
+    seen = []
+    real = quantiles._counted
+    monkeypatch.setattr(quantiles, "_counted", lambda *a: seen.append(real(*a)) or seen[-1])
+    df = spark.range(0, 200_000, 1, 6).selectExpr("case when id % 3 = 0 then 5.0 else cast(hash(id) as double) end as x")
+    probs = [0.01, 0.25, 0.5, 0.99]
+    want = np.quantile(np.array([r.x for r in df.collect()]), probs)
+    assert exact_quantiles(df, "x", probs) == pytest.approx(want.tolist(), rel=1e-12)
+    assert len(seen) == 1 and seen[0].count() < 1000
