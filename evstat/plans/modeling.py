@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evstat.functions import exprs as X
-from evstat.operators import chisq, describe, features as feat, gram, metrics, models, prep, tune
+from evstat.operators import chisq, describe, dictionary, features as feat, gram, metrics, models, prep, tune
 from evstat.plans.catalog import query
 from evstat.plans.tables import CODE_SQL, COUNTRY_SQL, code_col, country_col, lineitem_key, table
-from evstat.session import scratch_path
+from evstat.session import reliable_checkpoint, scratch_path
 from evstat.sources import io
 
 # ============================================================ chi-square input (A9, A10, T-1..T-3)
@@ -190,8 +190,35 @@ from orders o join p on o.o_orderpriority = p.v join s on o.o_orderstatus = s.v
 def string_index_multi(spark: SparkSession, sf: str) -> DataFrame:
     """M2: several columns indexed at once, ``handleInvalid='skip'``."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
-    si = feat.string_indexer(["o_orderpriority", "o_orderstatus"], ["priority_idx", "status_idx"], "skip")
-    return si.fit(o).transform(o).select("o_orderkey", "priority_idx", "status_idx")
+    cols = ["o_orderpriority", "o_orderstatus"]
+    d = reliable_checkpoint(dictionary.label_dictionary(o, cols))
+    return dictionary.with_indices(o, d, cols, ["priority_idx", "status_idx"], "skip").drop(*cols)
+
+
+@query("string_index_keep", f"""
+with l as (select l_orderkey, l_linenumber, {CODE_SQL} as code, cast(l_discount as varchar) as discount from lineitem),
+     c as (select code as v, cast(row_number() over (order by count(*) desc, code) - 1 as double) as i from l where code is not null group by 1),
+     d as (select discount as v, cast(row_number() over (order by count(*) desc, discount) - 1 as double) as i from l group by 1)
+select l_orderkey, l_linenumber, coalesce(c.i, (select count(*) from c)::double) as code_idx, d.i as discount_idx
+from l left join c on l.code = c.v join d on l.discount = d.v
+""")
+def string_index_keep(spark: SparkSession, sf: str) -> DataFrame:
+    """M2: ``handleInvalid='keep'``: nulls take the number of labels as their index."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", code_col().alias("code"),
+                                             F.col("l_discount").cast("string").alias("discount"))
+    d = reliable_checkpoint(dictionary.label_dictionary(li, ["code", "discount"]))
+    return dictionary.with_indices(li, d, ["code", "discount"], ["code_idx", "discount_idx"], "keep").drop("code", "discount")
+
+
+@query("string_index_dictionary", """
+with e as (select 'user_id' as "column", cast(user_id as varchar) as value from events union all select 'event_type', event_type from events)
+select "column", value, count(*) as n,
+       cast(row_number() over (partition by "column" order by count(*) desc, value) - 1 as double) as idx
+from e where value is not null group by 1, 2
+""")
+def string_index_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """M2: the labels of several columns, one of them with very many, ranked in one range sort."""
+    return dictionary.label_dictionary(table(spark, sf, "events"), ["user_id", "event_type"])
 
 
 @query("assemble", f"""
