@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evstat.functions import exprs as X
-from evstat.operators import chisq, describe, dictionary, features as feat, gram, metrics, models, prep, tune
+from evstat.operators import chisq, describe, dictionary, features as feat, gram, logit, metrics, models, prep, tune
 from evstat.plans.catalog import query
 from evstat.plans.tables import CODE_SQL, COUNTRY_SQL, code_col, country_col, lineitem_key, table
 from evstat.session import reliable_checkpoint, scratch_path
@@ -795,3 +796,47 @@ def logistic_objective(spark: SparkSession, sf: str) -> DataFrame:
     """Objective per iteration of the case-3 logistic model."""
     rep = chisq.association_report(chi_input(spark, sf), ["is_same", "scale", "discount"], "ToneLevel")
     return rep["objective"]
+
+
+def _revenue_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Data with signal: is a line's revenue above its mean, from its price band, rounded quantity and discount."""
+    li = table(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_extendedprice")
+    li = li.withColumn("revenue", F.col("l_extendedprice") * F.col("l_quantity") * (1 - F.col("l_discount")))
+    li = prep.with_mean_cut(li, "revenue", "mean_revenue")
+    return li.select(X.bin_ordinal("l_extendedprice", [5000, 20000, 40000, 70000, 100000]).alias("band"),
+                     X.round_half_even(F.col("l_quantity") / 2).alias("scale"), F.col("l_discount").alias("discount"),
+                     X.label_binary("revenue", F.col("mean_revenue")).alias("label"))
+
+
+@query("logistic_signal_optimality", """
+select * from (values ('band', true), ('scale', true), ('discount', true), ('intercept', true),
+                      ('has coefficients', true), ('objective falls', true), ('better than the share', true)) t("check", holds)
+""")
+def logistic_signal_optimality(spark: SparkSession, sf: str) -> DataFrame:
+    """The fit (reg 0.05, mix 0.8) on data with signal; its optimality conditions summed over all rows."""
+    rows = _revenue_rows(spark, sf)
+    names = ["band", "scale", "discount"]
+    reg, net = 0.05, 0.8
+    m = logit.fit(rows, names, "label", reg=reg, net=net)
+    p = m.probability()
+    y = F.col("label").cast("double")
+    one = rows.agg(F.avg(p - y).alias("intercept"), *[F.avg((p - y) * F.col(c)).alias(f"g_{c}") for c in names],
+                   *[F.struct(F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd")).alias(c) for c in names],
+                   F.avg(((p >= 0.5) == (y == 1)).cast("double")).alias("accuracy"), F.greatest(F.avg(y), 1 - F.avg(y)).alias("share"))
+    checks = []
+    for c, w in zip(names, m.coefficients, strict=True):
+        weight = F.lit(float(w)) * F.col(c)["sd"]
+        slope = (F.col(f"g_{c}") - F.col("intercept") * F.col(c)["mean"]) / F.col(c)["sd"] + reg * (1 - net) * weight
+        ok = F.abs(slope + reg * net * F.signum(weight)) < 1e-6 if w else F.abs(slope) <= reg * net + 1e-6
+        checks.append(F.struct(F.lit(c).alias("check"), ok.alias("holds")))
+    falls = all(a >= b for a, b in zip(m.history, m.history[1:], strict=False)) and m.history[0] - m.history[-1] > 0.01
+    checks += [F.struct(F.lit(n).alias("check"), ok.alias("holds")) for n, ok in (
+        ("intercept", F.abs("intercept") < 1e-6), ("has coefficients", F.lit(bool(np.count_nonzero(m.coefficients) >= 2))),
+        ("objective falls", F.lit(falls)), ("better than the share", F.col("accuracy") > F.col("share") + 0.05))]
+    return one.select(F.inline(F.array(*checks)))
+
+
+@query("logistic_signal_objective")
+def logistic_signal_objective(spark: SparkSession, sf: str) -> DataFrame:
+    """Objective after every step on data with signal."""
+    return logit.fit(_revenue_rows(spark, sf), ["band", "scale", "discount"], "label", reg=0.05).objective_table(spark)
