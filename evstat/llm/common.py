@@ -3,7 +3,9 @@ word hashing over Arrow string columns (used inside ``mapInArrow`` tasks)."""
 
 from __future__ import annotations
 
+import multiprocessing
 import pickle
+import traceback
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -195,6 +197,30 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, t
     return kept.select("y", "h", "text", "lang")
 
 
+def _apart(work: Callable[[], bytes]) -> bytes:
+    """``work`` in a child process, so that its memory goes with it and not to the worker that later tasks use."""
+    context = multiprocessing.get_context("fork")
+    here, there = context.Pipe(duplex=False)
+
+    def child() -> None:
+        try:
+            there.send_bytes(b"+" + work())
+        except BaseException:
+            there.send_bytes(b"-" + traceback.format_exc().encode())
+
+    process = context.Process(target=child)
+    process.start()
+    there.close()
+    try:
+        said = here.recv_bytes()
+    except EOFError:
+        said = b"-the training process ended"
+    process.join()
+    if said[:1] != b"+":
+        raise RuntimeError(said[1:].decode())
+    return said[1:]
+
+
 def trained(sample: DataFrame, train: Callable[[list[dict]], Any]) -> Any:
     """``train`` on the rows of a bounded sample, label 1 first, then by hash and text.
 
@@ -205,7 +231,8 @@ def trained(sample: DataFrame, train: Callable[[list[dict]], Any]) -> Any:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = order(r for batch in batches for r in batch.to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], names=["model"])
+        model = _apart(lambda: pickle.dumps(train(rows)))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     found = sample.repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else train([])

@@ -47,6 +47,7 @@ from evstat.llm.components import components
 WORDS = 5
 SIMILARITY = 0.8
 BANDS = 40
+SLICE_BYTES = 500_000    # of texts handled at once: numpy holds some 100 bytes for each
 LISTED = 16   # members of a bucket up to which its open pairs are listed
 BLOCK = 64    # members of a block
 ROWS = 7      # coordinates a band: a pair at 0.8 shares no band with probability (1 - 0.8**7)**40 < 1e-4
@@ -118,7 +119,7 @@ def _signatures(width: int, bands: int, rows: int):
             # equal texts of a batch are computed once
             _, once = np.unique(np.asarray(cid.to_pylist(), dtype=object).astype(str), return_index=True)
             batch = batch.take(pa.array(np.sort(once)))
-            for a, b, data, offsets in text_slices(batch.column(1)):
+            for a, b, data, offsets in text_slices(batch.column(1), SLICE_BYTES):
                 units, doc = bag_units(data, offsets, width)
                 has = np.bincount(doc, minlength=b - a) > 0
                 keys = band_keys(dart_signatures(units, doc, b - a, bands * rows), bands, rows)[has]
@@ -132,7 +133,7 @@ def _bags(width: int):
     """Contents as sorted 32-bit unit ids, each content of a batch once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column(1)):
+            for a, b, data, offsets in text_slices(batch.column(1), SLICE_BYTES):
                 units, doc = bag_units(data, offsets, width)
                 units = units >> np.uint64(32)
                 both = np.sort((doc.astype(np.uint64) << np.uint64(32)) | units)

@@ -3,12 +3,13 @@
 import itertools
 
 import numpy as np
+import pytest
 
 from conftest import SF_ORACLE, SF_SMALL
 from evstat.llm import crf_quality as Q
 from evstat.llm import queries
 from evstat.llm import toxicity as T
-from evstat.llm.common import labelled_sample
+from evstat.llm.common import labelled_sample, trained
 from llm.helpers import HARD_TEXTS, empty_docs, hard_docs
 
 
@@ -110,3 +111,15 @@ def test_one_huge_text_a_label_costs_only_itself(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, y int")
     got = labelled_sample(df.select("doc_id", "text"), df.select("doc_id", "y"), "y", 40, 10_000).collect()
     assert sorted(r.text for r in got) == sorted(t for i, t, _ in rows if i not in first.values())
+
+
+def test_training_runs_apart(spark):
+    """The model comes back from a process of its own, and so does what it raises."""
+    sample = spark.createDataFrame([(i % 2, i, f"t{i}", None) for i in range(9)], "y int, h long, text string, lang string")
+    assert trained(sample, lambda rows: [(r["y"], r["h"]) for r in rows]) == [(1, h) for h in (1, 3, 5, 7)] + [(0, h) for h in (0, 2, 4, 6, 8)]
+    assert trained(sample.limit(0), len) == 0
+
+    def fails(rows):
+        raise ValueError("no such thing")
+    with pytest.raises(Exception, match="no such thing"):
+        trained(sample, fails)
