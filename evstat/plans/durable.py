@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evstat.operators import comoments, split
 from evstat.plans.catalog import query
-from evstat.plans.tables import table
+from evstat.plans.tables import lineitem_key, table
+from evstat.session import scratch_path
+from evstat.sources import quarantine, versions
 
 # ============================================================ exact split
 
@@ -87,3 +92,52 @@ def pca_score_means(spark: SparkSession, sf: str) -> DataFrame:
     pc = comoments.principal_components(li, _PCA_COLS)
     back = sum((F.col(f"pc{k}") * float(pc.weights[k, 0]) for k in range(len(_PCA_COLS))), F.lit(0.0))
     return li.select(*pc.scores()).agg(F.count("*").alias("n"), F.round(F.sum(back), 2).alias("qty"))
+
+
+# ============================================================ committed tables
+
+@query("committed_refresh", """
+select l_orderkey, l_linenumber, l_orderkey % 43 as key,
+       case when l_orderkey % 43 in (3, 7) then l_quantity * 2 else l_quantity end::double as l_quantity
+from lineitem
+""")
+def committed_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines by shard, overwritten in whole, then two shards refreshed from the table itself."""
+    path = scratch_path(spark, f"committed/{uuid.uuid4().hex}")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", lineitem_key().alias("key"),
+                                             F.col("l_quantity").cast("double").alias("l_quantity"))
+    versions.overwrite(li, path, ["key"])
+    shards = versions.read(spark, path).where(F.col("key").isin(3, 7))
+    versions.refresh(shards.withColumn("l_quantity", F.col("l_quantity") * 2), path)
+    return versions.read(spark, path)
+
+
+# ============================================================ quarantine
+
+_LINE = T.StructType([T.StructField("l_orderkey", T.LongType()), T.StructField("l_linenumber", T.IntegerType()),
+                      T.StructField("qty", T.IntegerType()), T.StructField("flag", T.StringType())])
+
+
+@query("quarantined_lines", """
+with t as (select l_orderkey, l_linenumber, l_quantity::bigint as qty, l_returnflag as flag,
+                  case when l_orderkey % 11 = 0 then 'fields' when l_orderkey % 13 = 0 then 'type:qty' end as reason
+           from lineitem)
+select reason, case when reason is null then l_orderkey end as l_orderkey,
+       case when reason is null then l_linenumber end as l_linenumber, case when reason is null then qty end as qty,
+       case when reason = 'fields' then concat_ws(chr(9), l_orderkey, l_linenumber, qty)
+            when reason is not null then concat_ws(chr(9), l_orderkey, l_linenumber, 'many', flag) end as raw
+from t
+""")
+def quarantined_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines written as text, some a field short and some with a word for a number, read back in two tables."""
+    key, qty = F.col("l_orderkey").cast("string"), F.col("l_quantity").cast("bigint").cast("string")
+    short, word = F.pmod("l_orderkey", F.lit(11)) == 0, F.pmod("l_orderkey", F.lit(13)) == 0
+    line = F.concat_ws("\t", key, F.col("l_linenumber").cast("string"), F.when(word & ~short, F.lit("many")).otherwise(qty),
+                       F.when(~short, F.col("l_returnflag")))
+    path = scratch_path(spark, f"lines/{uuid.uuid4().hex}")
+    table(spark, sf, "lineitem").select(line.alias("value")).write.text(path)
+    good, bad = quarantine.read_checked(spark, path, _LINE)
+    none = F.lit(None)
+    return good.select(none.cast("string").alias("reason"), "l_orderkey", "l_linenumber", "qty", none.cast("string").alias("raw")).unionByName(
+        bad.select("reason", none.cast("long").alias("l_orderkey"), none.cast("int").alias("l_linenumber"), none.cast("int").alias("qty"),
+                   F.col("raw").cast("string").alias("raw")))
