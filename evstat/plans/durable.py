@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evstat.operators import comoments, split
+from evstat.operators import comoments, shard_state, split
 from evstat.plans.catalog import query
 from evstat.plans.tables import lineitem_key, table
 from evstat.session import scratch_path
@@ -141,3 +141,24 @@ def quarantined_lines(spark: SparkSession, sf: str) -> DataFrame:
     return good.select(none.cast("string").alias("reason"), "l_orderkey", "l_linenumber", "qty", none.cast("string").alias("raw")).unionByName(
         bad.select("reason", none.cast("long").alias("l_orderkey"), none.cast("int").alias("l_linenumber"), none.cast("int").alias("qty"),
                    F.col("raw").cast("string").alias("raw")))
+
+
+# ============================================================ shard states (A2, A3)
+
+@query("shard_state_refresh", """
+with t as (select l_quantity::double as l_quantity,
+                  case when l_orderkey % 43 = 6 then l_extendedprice + 1000 else l_extendedprice end::double as l_extendedprice
+           from lineitem where l_orderkey % 43 <> 11),
+     u as (select 'l_quantity' as col, l_quantity as x from t union all select 'l_extendedprice', l_extendedprice from t)
+select col, count(x)::bigint as count, round(avg(x), 4) as mean, round(stddev_samp(x), 4) as stddev, min(x) as min, max(x) as max
+from u group by col
+""")
+def shard_state_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """A2/A3: states of all 43 shards; then shard 6 changes and shard 11 empties, and only those two are read again."""
+    li = table(spark, sf, "lineitem").select(lineitem_key().alias("key"), F.col("l_quantity").cast("double").alias("l_quantity"),
+                                             F.col("l_extendedprice").cast("double").alias("l_extendedprice"))
+    path, cols = scratch_path(spark, f"states/{uuid.uuid4().hex}"), ["l_quantity", "l_extendedprice"]
+    shard_state.build(li, path, "key", cols)
+    price = F.when(F.col("key") == 6, F.col("l_extendedprice") + 1000).otherwise(F.col("l_extendedprice"))
+    shard_state.refresh(li.withColumn("l_extendedprice", price).where("key <> 11"), path, "key", cols, [6, 11])
+    return shard_state.summary(spark, path).select("col", "count", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"), "min", "max")
