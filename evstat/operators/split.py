@@ -49,9 +49,10 @@ def cut_places(weights: Sequence[float], total: int) -> list[int]:
 
 
 def _counts(digests: DataFrame, width: int, under: Sequence[str]) -> dict[str, tuple[int, str, str]]:
-    """Rows, least and greatest digest of each prefix of ``width`` digits that extends one of ``under``."""
-    rows = digests.groupBy(F.substring("d", 1, width).alias("p")).agg(
-        F.sum("n").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"))
+    """Rows, least and greatest digest of each prefix of ``width`` digits that extends one of ``under``.  Where
+    ``under`` is empty the prefixes of all rows are counted, by hash: ends of texts would need the rows sorted."""
+    ends = [F.min("d").alias("low"), F.max("d").alias("high")] if under else [F.lit("").alias("low"), F.lit("~").alias("high")]
+    rows = digests.groupBy(F.substring("d", 1, width).alias("p")).agg(F.sum("n").alias("n"), *ends)
     if under:
         rows = rows.where(F.substring("p", 1, width - STEP).isin(list(under)))
     return {r["p"]: (r["n"], r["low"], r["high"]) for r in rows.collect()}     # 16 ** STEP a prefix in ``under``
