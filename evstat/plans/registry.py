@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("evstat.plans.catalog", "evstat.plans.modeling", "evstat.plans.durable")
+MODULES = ("evstat.plans.catalog", "evstat.plans.modeling", "evstat.plans.durable", "evstat.plans.scoring")
 
 
 def _load():
