@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 
 from evstat.operators import comoments, shard_state, split
 from evstat.plans.catalog import query
-from evstat.plans.tables import lineitem_key, table
+from evstat.plans.tables import events_with_gaps, lineitem_key, table
 from evstat.session import scratch_path
-from evstat.sources import quarantine, versions
+from evstat.sources import clustered, quarantine, versions
 
 # ============================================================ exact split
 
@@ -162,3 +162,48 @@ def shard_state_refresh(spark: SparkSession, sf: str) -> DataFrame:
     price = F.when(F.col("key") == 6, F.col("l_extendedprice") + 1000).otherwise(F.col("l_extendedprice"))
     shard_state.refresh(li.withColumn("l_extendedprice", price).where("key <> 11"), path, "key", cols, [6, 11])
     return shard_state.summary(spark, path).select("col", "count", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"), "min", "max")
+
+
+# ============================================================ clustered layout
+
+def _clustered_lines(spark: SparkSession, sf: str) -> str:
+    path = scratch_path(spark, f"clustered/{uuid.uuid4().hex}")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("l_quantity"),
+                                             F.col("l_extendedprice").cast("double").alias("l_extendedprice"), "l_returnflag")
+    clustered.write(li, path, ["l_quantity", "l_extendedprice"], zones=["l_orderkey"], bloom=["l_returnflag"], files=32)
+    return path
+
+
+_NARROW = [("l_quantity", ">=", 10.0), ("l_quantity", "<=", 12.0), ("l_returnflag", "in", ["A", "R"])]
+
+
+@query("clustered_count", """
+select count(*) as n, round(sum(l_extendedprice::double), 2) as price from lineitem
+where l_quantity between 10 and 12 and l_returnflag in ('A', 'R')
+""")
+def clustered_count(spark: SparkSession, sf: str) -> DataFrame:
+    """A5 + F9: a count and a sum over a narrow range of the clustered lines, from the files that hold it."""
+    rows = clustered.read(spark, _clustered_lines(spark, sf), _NARROW)
+    return rows.agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
+
+
+@query("clustered_share", "select count(*) as rows, 32::bigint as files, true as holds_all, true as under_a_quarter from lineitem")
+def clustered_share(spark: SparkSession, sf: str) -> DataFrame:
+    """S3: the same range opens less than a quarter of the rows, and all that match are in the opened files."""
+    path = _clustered_lines(spark, sf)
+    matching = clustered.read(spark, path, _NARROW).agg(F.count("*").alias("n"))
+    share = clustered.read_share(spark, path, _NARROW)
+    n = matching.first()["n"]
+    return share.select("rows", "files", (F.col("rows_in_files") >= n).alias("holds_all"),
+                        (4 * F.col("rows_in_files") < F.col("rows")).alias("under_a_quarter"))
+
+
+@query("clustered_present", """
+select event_id, value from (select event_id, case when event_id % 17 = 0 then null else value end as value from events)
+where value is not null and value > 90
+""")
+def clustered_present(spark: SparkSession, sf: str) -> DataFrame:
+    """F1 + F8: events with gaps, clustered by value; the present ones above a score."""
+    path = scratch_path(spark, f"clustered/{uuid.uuid4().hex}")
+    clustered.write(table(spark, sf, "events").select("event_id", events_with_gaps().alias("value")), path, ["value"], files=16)
+    return clustered.read(spark, path, [("value", "present", None), ("value", ">", 90.0)])
