@@ -18,7 +18,7 @@ columns of the input pass through, under their own names.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,23 +67,46 @@ def markable(text: Column) -> Column:
     return F.when(marked, F.translate(text, _OPEN + _CLOSE, _OTHER + _OTHER)).otherwise(text)
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _blocks(xs: Column) -> Column:
+    """A non-empty array of n as about sqrt(n) arrays of about sqrt(n)."""
+    def cut(v: Column, step: Column) -> Column:
+        n = F.floor((F.size(v) - 1) / step).cast("int")
+        return F.transform(F.sequence(F.lit(0), n), lambda b: F.slice(v, b * step + 1, step))
+
+    return _with(xs, lambda v: _with(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda step: cut(v, step)))
+
+
+def _before(xs: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each int of a non-empty array, all before it joined, from 0.  The fold copies what it has gathered at
+    each step, so it runs over blocks: n * sqrt(n) copies and not n * n, where one text has a great many matches."""
+    def run(part: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, start, lambda acc, x: F.struct(
+            join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    whole = lambda b: F.aggregate(b, F.lit(0), join)
+    return _with(_blocks(xs), lambda blocks: F.flatten(F.zip_with(
+        blocks, run(F.transform(blocks, whole), F.lit(0)), run)))
+
+
 def rule_spans(text: Column, rule: Rule) -> Column:
     """``array<struct<s,e>>`` of the kept matches of one rule (null when it has no
     match); ``text`` must be ``markable``."""
     marked = F.regexp_replace(text, f"({rule.pattern})", f"{_OPEN}$1{_CLOSE}")
     pieces = F.split(marked, f"[{_OPEN}{_CLOSE}]")
-    # pieces alternate: text between, match, text between, ...
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"),
-                     F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        kept = (acc["i"] % 2 == 1) & piece.rlike(rule.keep)
-        out = F.when(kept, F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), end.alias("e"))))) \
-            .otherwise(acc["out"])
-        return F.struct((acc["i"] + 1).alias("i"), end.alias("at"), out.alias("out"))
+    def found(piece: Column, starts: Column) -> Column:
+        # pieces alternate: text between, match, text between, ...
+        spans = F.transform(piece, lambda p, i: F.when((i % 2 == 1) & p.rlike(rule.keep), F.struct(
+            F.get(starts, i).alias("s"), (F.get(starts, i) + F.length(p)).alias("e"))))
+        return F.filter(spans, lambda x: x.isNotNull())
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(pieces, start, step, lambda acc: acc["out"]))
+    of = _with(pieces, lambda piece: _with(_before(F.transform(piece, F.length), lambda a, n: a + n), lambda starts: found(piece, starts)))
+    return F.when(text.rlike(rule.pattern), of)
 
 
 def _pair(rule: Rule) -> Column:
@@ -148,14 +171,19 @@ def spans_text(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     """The text with every span, or run of overlapping spans, replaced by ``mask``."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = x["s"] >= acc["at"]
-        between = F.substring(text, acc["at"] + 1, x["s"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"),
-                        F.when(new, F.concat(acc["out"], between, F.lit(mask))).otherwise(acc["out"]).alias("out"))
-
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.aggregate(spans, state, step, lambda acc: F.concat(
-            acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+    def segments(x: Column) -> Column:
+        """What stands before each span that begins after all before it have ended."""
+        reach = _before(F.transform(x, lambda s: s["e"]), lambda a, e: F.greatest(a, e))
+        return _with(reach, lambda r: F.filter(F.transform(x, lambda s, i: F.struct(F.get(r, i).alias("f"), s["s"].alias("t"))),
+                                               lambda g: g["t"] >= g["f"]))
+
+    def joined(block: Column) -> Column:
+        first = F.element_at(block, 1)["f"]
+        chunk = F.substring(text, first + 1, F.element_at(block, -1)["t"] - first)
+        # cut from a chunk: a substring is found by counting from where its string begins
+        return _with(chunk, lambda c: F.array_join(F.transform(block, lambda g: F.concat(
+            F.substring(c, g["f"] - first + 1, g["t"] - g["f"]), F.lit(mask))), ""))
+
+    end = F.array_max(F.transform(spans, lambda s: s["e"]))
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(
+        F.array_join(F.transform(_blocks(segments(spans)), joined), ""), F.substring(text, end + 1, F.length(text))))

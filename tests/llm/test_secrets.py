@@ -102,3 +102,18 @@ def test_redaction(seed):
                 want += t[at:x.s] + "[SECRET]"
             at = max(at, x.e)
         assert r.r == want + t[at:]
+
+
+def test_a_text_with_very_many_matches(spark):
+    """150,000 matches in one text, and one text each around the sizes of the blocks of the running sums."""
+    import time
+    sizes = [1, 2, 3, 4, 5, 8, 9, 10, 16, 17, 150_000]
+    rows = [(n, " ".join(f"é token={'v' * (6 + i % 3)}{i}" for i in range(n))) for n in sizes]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    found = L.join_back(df, L.blob_col("text"), L.found_in(df)).select("doc_id", "secrets", L.redact(F.col("text"), F.col("secrets")).alias("r"))
+    got = {r.doc_id: r for r in found.collect()}
+    for n, t in rows:
+        assert [(x.s, x.e) for x in got[n].secrets] == [(m.start(), m.end()) for m in ASSIGN.finditer(t)]
+        assert got[n].r == ASSIGN.sub("[SECRET]", t)
+    assert time.time() - began < 120
