@@ -123,3 +123,32 @@ def test_training_runs_apart(spark):
         raise ValueError("no such thing")
     with pytest.raises(Exception, match="no such thing"):
         trained(sample, fails)
+
+
+def test_all_labelled_rows_teach(spark):
+    """Each mark is in two texts of 240: a sample of 60 rows misses most of them, shards of 60 rows none."""
+    rng = np.random.default_rng(3)
+    fill = lambda: " ".join(rng.choice(["river", "stone", "field", "bread", "window", "garden"], 12))
+    bad = [f"{a}{b}zq" for a in ("kra", "vom", "pel", "dus", "gri", "nak", "tol", "fyx") for b in ("om", "ip", "ul", "et", "ax")]
+    rows = [(i, f"{fill()} {bad[i % 40]} {fill()}", "en", 1) for i in range(80)] + [(100 + i, f"{fill()} {fill()}", None, 0) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = T.fit(df.drop("toxic"), df.select("doc_id", "toxic"), rows=60)
+    new = spark.createDataFrame([(x, f"{fill()} {x} {fill()}") for x in bad] + [("", f"{fill()} {fill()}")] * 20, "mark string, text string")
+    got = [(r.mark != "", r.score) for r in T.score(new, model).collect()]
+    caught = [s >= model.limits[None] for mark, s in got if mark]
+    assert len(caught) == 40 and sum(caught) >= 36 and not any(s >= model.limits[None] for mark, s in got if not mark)
+
+
+def test_limits_count_every_row(spark):
+    rows = [(i, "calm river text" if i % 3 else "awful scum text", "en" if i % 2 else None, int(i % 3 == 0)) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, y int")
+    model = T.train([r[1] for r in rows], np.array([r[3] for r in rows]))
+    s = [r.score for r in T.score(df, T._calibrated(df, model)).orderBy("doc_id").collect()]
+    assert T._calibrated(df, model).limits == T.calibrate(np.array(s), np.array([r[3] for r in rows]), [r[2] for r in rows])
+
+
+def test_dead_filters_are_zero():
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["a", "b", "c", "scum"], 6)) for _ in range(400)]
+    m = T.train(texts, np.array([int("scum" in t) for t in texts]))
+    assert all(((np.abs(w) >= T.TINY) | (w == 0)).all() for w in T._dense(m))
