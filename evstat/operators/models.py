@@ -176,7 +176,8 @@ def load_best_of_cv(path: str) -> PipelineModel:
     return CrossValidatorModel.load(path).bestModel
 
 
-def training_frame(df: DataFrame, partitions: int | None = None, key: Sequence[str] = ()) -> DataFrame:
+def training_frame(df: DataFrame, partitions: int | None = None, key: Sequence[str] = (),
+                   keep: Sequence[str] | None = None) -> DataFrame:
     """Frame for an iterative fit, persisted (memory, spilling to disk) so passes do
     not re-read the source; a lost executor's blocks are recomputed from lineage.
 
@@ -184,23 +185,26 @@ def training_frame(df: DataFrame, partitions: int | None = None, key: Sequence[s
     unless ``partitions`` and ``key`` name one: then rows go to that many
     partitions by the hash of ``key`` and are sorted by all sortable columns
     inside, so seeded fits see the same rows in the same order everywhere.
+    ``keep``: the columns that the stages read; the others only order the rows.
     """
     if partitions:
         order = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("udt", "map", "variant")]
         df = df.repartition(partitions, *(key or order)).sortWithinPartitions(*order)
+    if keep is not None:
+        df = df.select(*keep)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit_pipeline(stages: Sequence, df: DataFrame, partitions: int | None = None,
-                 key: Sequence[str] = ()) -> PipelineModel:
+                 key: Sequence[str] = (), keep: Sequence[str] | None = None) -> PipelineModel:
     """M8: fit all stages in order on a persisted training frame (``training_frame``
-    explains ``partitions`` and ``key``).
+    explains ``partitions``, ``key`` and ``keep``).
 
     The raw columns are persisted, not the assembled vectors: cached
     vector columns are deserialised on every pass, which measured slower
     than re-running the cheap feature transforms from cached columns.
     """
-    train = training_frame(df, partitions, key)
+    train = training_frame(df, partitions, key, keep)
     try:
         return Pipeline(stages=list(stages)).fit(train)
     finally:

@@ -364,12 +364,19 @@ def _model_frame(spark: SparkSession, sf: str) -> DataFrame:
         lineitem_key().alias("key"))
 
 
-def _spread(spark: SparkSession) -> dict:
-    """Layout of an iterative fit: rows by the hash of their id over all cores, whatever the files they came in."""
-    return {"partitions": spark.sparkContext.defaultParallelism, "key": ["l_orderkey", "l_linenumber"]}
+TASK_ROWS = 500_000     # rows of a fit that one task reads, about
+
+
+def _spread(spark: SparkSession, sf: str) -> dict:
+    """Layout of an iterative fit: rows by the hash of their id over all cores, whatever the files they came in, as many
+    times over as keeps a task at ``TASK_ROWS`` (the count comes from the files' footers)."""
+    cores = spark.sparkContext.defaultParallelism
+    turns = max(1, -(-table(spark, sf, "lineitem").count() // (cores * TASK_ROWS)))
+    return {"partitions": cores * turns, "key": ["l_orderkey", "l_linenumber"]}
 
 
 _CATS = ["ActionGeo_CountryCode", "Actor2Code", "Actor1Code", "Actor1CountryCode"]
+_FIT_COLS = [*_CATS, "GoldsteinScale"]
 
 
 def _indexed(df: DataFrame):
@@ -481,7 +488,7 @@ def forest_test_labels(spark: SparkSession, sf: str) -> DataFrame:
     split = prep.hash_split(df, "l_orderkey", 1, 10, exact=True)
     si, cols = _indexed(df)
     stages = [si, feat.assembler(cols, "vectored"), feat.pca(5, "vectored", "features"), models.random_forest()]
-    m = models.fit_pipeline(stages, split.where(F.col("part") == "train"), **_spread(spark))
+    m = models.fit_pipeline(stages, split.where(F.col("part") == "train"), keep=[*_FIT_COLS, "label"], **_spread(spark, sf))
     scored = models.score(m, split.where(F.col("part") == "test"))
     return scored.agg(F.count(F.lit(1)).alias("n"),
                       F.bool_and(F.col("prediction").isin(1.0, 2.0, 3.0, 4.0, 5.0)).alias("known_labels"))
@@ -496,7 +503,7 @@ def random_forest(spark: SparkSession, sf: str) -> DataFrame:
     si, cols = _indexed(df)
     stages = [si, feat.assembler(cols, "vectored"), feat.pca(5, "vectored", "features"),
               models.random_forest()]
-    m = models.fit_pipeline(stages, split.where(F.col("part") == "train"), **_spread(spark))
+    m = models.fit_pipeline(stages, split.where(F.col("part") == "train"), keep=[*_FIT_COLS, "label"], **_spread(spark, sf))
     return models.score(m, split.where(F.col("part") == "test")).select(
         "l_orderkey", "l_linenumber", "label", "prediction")
 
@@ -506,7 +513,7 @@ def pca_features(spark: SparkSession, sf: str) -> DataFrame:
     """M6: five principal components of the indexed features."""
     df = _model_frame(spark, sf)
     si, cols = _indexed(df)
-    m = models.fit_pipeline([si, feat.assembler(cols, "vectored"), feat.pca(5, "vectored", "pca")], df, **_spread(spark))
+    m = models.fit_pipeline([si, feat.assembler(cols, "vectored"), feat.pca(5, "vectored", "pca")], df, keep=_FIT_COLS, **_spread(spark, sf))
     return m.transform(df).select("l_orderkey", "l_linenumber", *feat.vector_columns("pca", 5, "pc"))
 
 
@@ -518,7 +525,7 @@ def mlp(spark: SparkSession, sf: str) -> DataFrame:
     split = prep.hash_split(df, "l_orderkey", 1, 10, exact=True)
     si, cols = _indexed(df)
     stages = [si, feat.assembler(cols, "vector"), feat.scaler("vector", "features"), models.perceptron()]
-    m = models.fit_pipeline(stages, split.where(F.col("part") == "train"), **_spread(spark))
+    m = models.fit_pipeline(stages, split.where(F.col("part") == "train"), keep=[*_FIT_COLS, "label"], **_spread(spark, sf))
     return models.score(m, split.where(F.col("part") == "test")).select("l_orderkey", "l_linenumber", "label", "prediction")
 
 
@@ -731,7 +738,7 @@ def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     train, test = split.where(F.col("part") == "train"), split.where(F.col("part") == "test")
     pipe, _, _ = tune.hashed_regression(
         ["Actor1Code", "Actor1CountryCode", "ActionGeo_CountryCode", "GoldsteinScale"], "label")
-    m = models.fit_pipeline(pipe.getStages(), train, **_spread(spark))
+    m = models.fit_pipeline(pipe.getStages(), train, **_spread(spark, sf))
     path = scratch_path(spark, f"model/{uuid.uuid4().hex}")
     models.save(m, path)
     loaded = models.load_pipeline(path)

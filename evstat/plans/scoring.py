@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evstat.operators import features as feat, metrics, model_tables, models, prep, tune
 from evstat.plans.catalog import query
-from evstat.plans.modeling import _NB_SQL, _indexed, _mllib_terms_sql, _model_frame, _spread
+from evstat.plans.modeling import _FIT_COLS, _NB_SQL, _indexed, _mllib_terms_sql, _model_frame, _spread
 from evstat.plans.tables import table
 from evstat.session import scratch_path
 from evstat.sources import io
@@ -46,7 +46,8 @@ def forest_table_scores(spark: SparkSession, sf: str) -> DataFrame:
         "label", F.when(big & (F.col("l_discount") >= 0.05), 1.0).when(big & (F.col("l_tax") < 0.03), 2.0).otherwise(0.0))
     cols = ["l_quantity", "l_discount", "l_tax"]
     forest = models.random_forest().setFeatureSubsetStrategy("all").setMaxBins(64)
-    fitted = models.fit_pipeline([feat.assembler(cols), forest], li.select("l_orderkey", "l_linenumber", *cols, "label"), **_spread(spark))
+    fitted = models.fit_pipeline([feat.assembler(cols), forest], li.select("l_orderkey", "l_linenumber", *cols, "label"),
+                                 keep=[*cols, "label"], **_spread(spark, sf))
     nodes = _stored(spark, model_tables.forest_nodes(spark, fitted.stages[-1], _path(spark, "forest")))
     both = models.score(fitted, li).withColumnRenamed("prediction", "by_mllib")
     both = model_tables.score(both, nodes, F.array(*[F.col(c).cast("double") for c in cols]))
@@ -61,7 +62,7 @@ def forest_table_tones(spark: SparkSession, sf: str) -> DataFrame:
     df = prep.greater_than(prep.with_cast(_model_frame(spark, sf), "cast(tone as tinyint)", "label"), "tone", 0)
     indexer, cols = _indexed(df)
     stages = [indexer, feat.assembler(cols, "joined"), feat.vector_indexer("joined", "features", 12), models.random_forest()]
-    fitted = models.fit_pipeline(stages, df, **_spread(spark))
+    fitted = models.fit_pipeline(stages, df, keep=[*_FIT_COLS, "label"], **_spread(spark, sf))
     nodes = _stored(spark, model_tables.forest_nodes(spark, fitted.stages[-1], _path(spark, "forest")))
     raw, best = model_tables.scorer(nodes)(vector_to_array(F.col("features")))
     gap = F.aggregate(F.zip_with(raw, vector_to_array(F.col("probability")), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x)
@@ -78,7 +79,8 @@ def perceptron_table_scores(spark: SparkSession, sf: str) -> DataFrame:
     cols = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_extendedprice"]
     li = table(spark, sf, "lineitem").withColumn("label", (F.col("l_extendedprice") > 30000).cast("double"))
     stages = [feat.assembler(cols, "vector"), feat.scaler("vector", "features", with_mean=True), models.perceptron(max_iter=30)]
-    fitted = models.fit_pipeline(stages, li.select("l_orderkey", *dict.fromkeys(["l_linenumber", *cols]), "label"), **_spread(spark))
+    fitted = models.fit_pipeline(stages, li.select("l_orderkey", *dict.fromkeys(["l_linenumber", *cols]), "label"),
+                                 keep=[*cols, "label"], **_spread(spark, sf))
     weights = _stored(spark, model_tables.weight_table(spark, fitted.stages[-1]))
     raw, best = model_tables.scorer(weights)(vector_to_array(F.col("features")))
     gap = F.aggregate(F.zip_with(raw, vector_to_array(F.col("rawPrediction")), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x)
