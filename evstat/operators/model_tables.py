@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 NODES = ("tree int, node int, feature int, threshold double, left_set array<double>, categories int, "
          "left int, right int, votes array<double>")
 WEIGHTS = "kind string, layer int, out int, slot int, weight double"
+WRITTEN_OUT = 2000  # terms of a model up to which its sums are plain arithmetic; longer ones are folds
 INTERCEPT = -1      # the slot of a bias, prior or intercept
 
 
@@ -94,7 +95,7 @@ def _with(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _first_best(raw: Column) -> Column:
+def first_best(raw: Column) -> Column:
     """The smallest class of the largest score."""
     return _with(raw, lambda r: (F.array_position(r, F.array_max(r)) - 1).cast("double"))
 
@@ -155,6 +156,30 @@ def _layer(rows: list, x: Column) -> Column:
     return F.array(*sums)
 
 
+def _written_out(layers: list[list], x: Column, sigmoid: bool) -> Column:
+    """The last layer's sums as plain arithmetic, which Spark compiles, computing what repeats once.  As every sum
+    reads every input, a null or an array of another length leaves no sum at all."""
+    width = _width(layers[0])
+    right = F.when(F.size(x) == width, F.lit(0))
+    values = [F.get(x, right + s) for s in range(width)]
+    for k, rows in enumerate(layers):
+        outs: dict[int, dict[int, float]] = {}
+        for r in rows:
+            outs.setdefault(r["out"], {})[r["slot"]] = float(r["weight"])
+        sums = []
+        for o in sorted(outs):
+            dot = F.lit(0.0)
+            for s in range(_width(rows)):
+                dot = dot + F.lit(outs[o].get(s, 0.0)) * values[s]
+            sums.append(dot + F.lit(outs[o].get(INTERCEPT, 0.0)))
+        values = [1 / (1 + F.exp(-v)) for v in sums] if sigmoid and k < len(layers) - 1 else sums
+    return F.get(F.array(F.array(*values)), F.when(values[0].isNotNull(), F.lit(0)))
+
+
+def _width(rows: list) -> int:
+    return max(r["slot"] for r in rows) + 1
+
+
 def scorer(model: DataFrame) -> Callable[[Column], tuple[Column, Column]]:
     """``features array -> (raw, prediction)`` from a node or weight table, however it was written.
 
@@ -168,20 +193,26 @@ def scorer(model: DataFrame) -> Callable[[Column], tuple[Column, Column]]:
     if "tree" in model.columns:
         def forest(x: Column) -> tuple[Column, Column]:
             raw = _with(x, lambda v: _forest(rows, v))
-            return raw, _first_best(raw)
+            return raw, first_best(raw)
         return forest
     kind = rows[0]["kind"]
     last = max(r["layer"] for r in rows)
 
+    layers = [[r for r in rows if r["layer"] == k] for k in range(last + 1)]
+    # each sum names all sums before it, so the expression has as many terms as the product of the widths
+    written = math.prod([_width(mine) for mine in layers] + [len({r["out"] for r in layers[-1]})]) <= WRITTEN_OUT
+
     def weights(x: Column) -> tuple[Column, Column]:
+        if written:
+            raw = _written_out(layers, x, kind == "perceptron")
+            return raw, F.get(raw, F.lit(0)) if kind == "linear" else first_best(raw)
         out = x
         for k in range(last + 1):
-            mine = [r for r in rows if r["layer"] == k]
-            out = _with(out, lambda v: _layer(mine, v))
+            out = _with(out, lambda v: _layer(layers[k], v))
             if kind == "perceptron" and k < last:
                 out = F.transform(out, lambda v: 1 / (1 + F.exp(-v)))
         raw = _with(out, lambda s: F.when(F.aggregate(s, F.lit(True), lambda a, v: a & v.isNotNull()), s))
-        return raw, F.get(raw, F.lit(0)) if kind == "linear" else _first_best(raw)
+        return raw, F.get(raw, F.lit(0)) if kind == "linear" else first_best(raw)
     return weights
 
 

@@ -82,9 +82,11 @@ def perceptron_table_scores(spark: SparkSession, sf: str) -> DataFrame:
     fitted = models.fit_pipeline(stages, li.select("l_orderkey", *dict.fromkeys(["l_linenumber", *cols]), "label"),
                                  keep=[*cols, "label"], **_spread(spark, sf))
     weights = _stored(spark, model_tables.weight_table(spark, fitted.stages[-1]))
-    raw, best = model_tables.scorer(weights)(vector_to_array(F.col("features")))
-    gap = F.aggregate(F.zip_with(raw, vector_to_array(F.col("rawPrediction")), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x)
-    rows = models.score(fitted, li).select("label", "prediction", best.alias("best"), gap.alias("gap"))
+    raw, _ = model_tables.scorer(weights)(vector_to_array(F.col("features")))
+    # the sums in a column of their own, so that they are computed once, by compiled code
+    rows = models.score(fitted, li).withColumn("raw", raw)
+    gap = F.aggregate(F.zip_with("raw", vector_to_array(F.col("rawPrediction")), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x)
+    rows = rows.select("label", "prediction", model_tables.first_best(F.col("raw")).alias("best"), gap.alias("gap"))
     return rows.agg(F.count("*").alias("n"), F.count_if(F.col("best") != F.col("prediction")).alias("other_class"),
                     (F.max("gap") < 1e-6).alias("same_shares"),
                     (F.avg((F.col("best") == F.col("label")).cast("double")) >= 0.95).alias("learnt"))

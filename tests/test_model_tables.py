@@ -109,3 +109,35 @@ def test_stage_of_a_missing_type(spark, rows):
     fitted = models.fit_pipeline([feat.assembler(["l_quantity"], "q")], rows)
     with pytest.raises(LookupError):
         feat.stage_of_type(fitted, VectorIndexer)
+
+
+def test_written_out_sums_are_those_of_the_folds(spark, monkeypatch):
+    """A perceptron as plain arithmetic and as folds: the same scores to the last bit, and none for odd arrays."""
+    import random
+    r = random.Random(4)
+    rows = [("perceptron", k, o, s, r.gauss(0, 1)) for k, (a, b) in enumerate(((3, 4), (4, 2))) for o in range(b) for s in range(-1, a)]
+    model = spark.createDataFrame(rows, model_tables.WEIGHTS)
+    df = spark.createDataFrame([([r.gauss(0, 3) for _ in range(3)],) for _ in range(50)]
+                               + [([1.0, None, 2.0],), ([1.0, 2.0],), ([1.0] * 4,), ([],), (None,)], "x array<double>")
+    got = []
+    for terms in (2000, 0):
+        monkeypatch.setattr(model_tables, "WRITTEN_OUT", terms)
+        raw, best = model_tables.scorer(model)(F.col("x"))
+        assert ("aggregate" in df.select(raw.alias("raw"))._jdf.queryExecution().optimizedPlan().toString()) == (terms == 0)
+        got.append(df.select(raw.alias("raw"), best.alias("best")).collect())
+    assert got[0] == got[1] and [x.raw for x in got[0][50:]] == [None] * 5
+
+
+def test_fits_read_bounded_tasks(spark, monkeypatch):
+    """The partitions of a fit grow with the table, and columns that only order the rows are not kept."""
+    from conftest import SF_SMALL
+    from evstat.operators import models
+    from evstat.plans import modeling
+    few = modeling._spread(spark, SF_SMALL)["partitions"]
+    assert few == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(modeling, "TASK_ROWS", 100)
+    rows = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
+    assert modeling._spread(spark, SF_SMALL)["partitions"] >= rows / 100
+    kept = models.training_frame(modeling._model_frame(spark, SF_SMALL), 4, ["l_orderkey"], ["GoldsteinScale"])
+    assert kept.columns == ["GoldsteinScale"] and kept.rdd.getNumPartitions() == 4
+    kept.unpersist()
