@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from evstat.llm.common import RangeHash, labelled_rows, materialise, text_slices, trained, word_bounds
+from evstat.llm.common import RangeHash, labelled_rows, materialise, rows_per_batch, text_slices, trained, word_bounds
 
 SHARD_ROWS = 3000          # labelled rows that train together, about
 SHARD_BYTES = 24_000_000   # and their text, whichever is less
@@ -260,7 +260,8 @@ def _block_sums(parts: DataFrame, finish: Callable[[np.ndarray], np.ndarray], wi
         done = finish(total.reshape(BLOCK, width)).astype(np.float32)
         return pa.table({"block": pa.array([block], pa.int32()), "payload": pa.array([done.tobytes()], pa.binary())})
 
-    got = parts.groupBy("block").applyInArrow(add, "block int, payload binary").collect()
+    with rows_per_batch(parts.sparkSession, 500):       # a task holds one shard of texts, not a default batch besides
+        got = parts.groupBy("block").applyInArrow(add, "block int, payload binary").collect()
     blocks = sorted((r["block"], bytes(r["payload"])) for r in got)
     return (np.frombuffer(b"".join(p for b, p in blocks if b >= 0), np.float32).reshape(BUCKETS, -1),
             [p for b, p in blocks if b < 0])
@@ -271,14 +272,15 @@ _SUMS_SQL = "block int, task long, payload binary"
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[str], np.ndarray]]:
-    """``shard, texts, labels`` of rows that come ordered by shard."""
-    shard, texts, labels = None, [], []
+    """``shard, texts, labels`` of rows that come ordered by shard; one of twice the usual size comes in pieces."""
+    shard, texts, labels, size = None, [], [], 0
     for batch in batches:
         for s, y, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if s != shard and texts:
+            if texts and (s != shard or len(texts) >= 2 * SHARD_ROWS or size >= 2 * SHARD_BYTES):
                 yield shard, texts, np.array(labels, np.int64)
-                texts, labels = [], []
+                texts, labels, size = [], [], 0
             shard = s
+            size += len(t)
             texts.append(t)
             labels.append(y)
     if texts:
@@ -302,7 +304,7 @@ def _train_shards(shared, heavy: float, epoch: int, seed: int):
             start, before = shared.value
             if first is None:
                 # of a bucket: steps of its weights and squared gradients, and the shards that moved it
-                first, moved, dense, rows = shard, np.zeros((BUCKETS, DIM + 2), np.float64), 0.0, 0
+                first, moved, dense, rows = shard, np.zeros((BUCKETS, DIM + 2), np.float32), 0.0, 0
                 loss = 0.0
             m = replace(start, emb=start.emb.copy(), conv=[x.copy() for x in start.conv],
                         cbias=[x.copy() for x in start.cbias], out=start.out.copy())
@@ -459,13 +461,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return model
 
     every = labelled_rows(docs, labels, label, doc_id, text, lang)
-    size = every.agg(F.count("*").alias("n"), F.sum("y").alias("positive"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    size = every.agg(F.count("*").alias("n"), F.sum("y").alias("positive"), F.sum("bytes").alias("bytes")).first()
     shards = max(-(-size["n"] // rows), -(-(size["bytes"] or 0) // text_bytes))
     if shards <= 1:
         return trained(every, train_and_calibrate)
-    dealt = every.withColumn("shard", F.pmod(F.xxhash64("h", "text"), F.lit(shards)))
-    dealt = materialise(dealt.repartition(shards, "shard").sortWithinPartitions("shard", "h", "y", "text")
-                        .select("shard", "y", "text", "lang"), "toxic-shards")
+    dealt = labelled_rows(docs, labels, label, doc_id, text, lang, partitions=shards).withColumn("shard", F.spark_partition_id())
+    dealt = materialise(dealt.sortWithinPartitions("h", "y", "text").select("shard", "y", "text", "lang"), "toxic-shards")
     return _calibrated(dealt, _train_sharded(dealt.select("shard", "y", "text"), size["n"], size["positive"]))
 
 
