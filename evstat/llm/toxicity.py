@@ -23,11 +23,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -246,25 +248,32 @@ def _blocks(table: np.ndarray, task: int) -> Iterator[pa.RecordBatch]:
              pa.array([np.ascontiguousarray(table[at:at + BLOCK], np.float64).tobytes()], pa.binary())], schema=_SUMS)
 
 
-def _block_sums(parts: DataFrame, finish: Callable[[np.ndarray], np.ndarray], width: int) -> tuple[np.ndarray, list[bytes]]:
+def _block_sums(parts: DataFrame, finish: Callable[[np.ndarray], np.ndarray], width: int, columns: int) -> tuple[np.ndarray, list[bytes]]:
     """The tables of all tasks added block by block, and what ``finish`` makes of each sum as one array; lines of block
-    -1 come as they are."""
+    -1 come as they are.  Only lines of the table that are not zero travel to the driver."""
     def add(group: pa.Table) -> pa.Table:
         group = group.sort_by("task")
         block = group.column(0)[0].as_py()
         if block < 0:
-            return group.select(["block", "payload"])
+            return group.select(["block", "payload"]).append_column("at", pa.nulls(len(group), pa.binary()))
         total = np.zeros(BLOCK * width)
         for x in group.column(2):
             total += np.frombuffer(x.as_buffer(), np.float64)
         done = finish(total.reshape(BLOCK, width)).astype(np.float32)
-        return pa.table({"block": pa.array([block], pa.int32()), "payload": pa.array([done.tobytes()], pa.binary())})
+        at = np.flatnonzero(done.any(1)).astype(np.int32)
+        return pa.table({"block": pa.array([block], pa.int32()), "payload": pa.array([done[at].tobytes()], pa.binary()),
+                         "at": pa.array([at.tobytes()], pa.binary())})
 
     with rows_per_batch(parts.sparkSession, 500):       # a task holds one shard of texts, not a default batch besides
-        got = parts.groupBy("block").applyInArrow(add, "block int, payload binary").collect()
-    blocks = sorted((r["block"], bytes(r["payload"])) for r in got)
-    return (np.frombuffer(b"".join(p for b, p in blocks if b >= 0), np.float32).reshape(BUCKETS, -1),
-            [p for b, p in blocks if b < 0])
+        got = parts.groupBy("block").applyInArrow(add, "block int, payload binary, at binary").collect()
+    table, lines = np.zeros((BUCKETS, columns), np.float32), []
+    while got:                                          # the driver holds one copy of the table
+        block, payload, at = got.pop()
+        if block < 0:
+            lines.append(bytes(payload))
+        else:
+            table[block * BLOCK + np.frombuffer(at, np.int32)] = np.frombuffer(payload, np.float32).reshape(-1, columns)
+    return table, sorted(lines)
 
 
 _SUMS = pa.schema([("block", pa.int32()), ("task", pa.int64()), ("payload", pa.binary())])
@@ -301,8 +310,8 @@ def _train_shards(shared, heavy: float, epoch: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = None
         for shard, texts, labels in _shards(batches):
-            start, before = shared.value
             if first is None:
+                start, before = _unpacked(shared.value)
                 # of a bucket: steps of its weights and squared gradients, and the shards that moved it
                 first, moved, dense, rows = shard, np.zeros((BUCKETS, DIM + 2), np.float32), 0.0, 0
                 loss = 0.0
@@ -336,10 +345,42 @@ def _set_flat(m: Model, adam: _Adam, flat: np.ndarray) -> None:
     m.bias, adam.step = float(flat[-2]), round(flat[-1])
 
 
+def _unseen(n: int, positive: int, seed: int) -> Model:
+    """The initial weights where no text holds any bucket: log odds of zero."""
+    m = _initial(n, positive, np.random.default_rng(seed))
+    m.emb[:, 0] = 0
+    return m
+
+
+def _packed(m: Model, adam: _Adam, unseen: Model, drawn: tuple[int, int, int]) -> tuple:
+    """Model and optimiser as a task gets them: only buckets that differ from ``unseen``, which a task draws again."""
+    at = np.flatnonzero((m.emb != unseen.emb).any(1) | (adam.emb_var != 0))
+    return drawn, at.astype(np.int32), m.emb[at], adam.emb_var[at], _flat(m, adam)
+
+
+def _unpacked(packed: tuple) -> tuple[Model, _Adam]:
+    drawn, at, emb, emb_var, flat = packed
+    m = _unseen(*drawn)
+    adam = _Adam.of(m)
+    m.emb[at], adam.emb_var[at] = emb, emb_var
+    _set_flat(m, adam, flat)
+    return m, adam
+
+
 def _mean_moves(total: np.ndarray) -> np.ndarray:
     return total[:, :-1] / np.maximum(total[:, -1:], 1)
 
 
+@contextmanager
+def _shared(spark: SparkSession, value: object) -> Iterator[Broadcast]:
+    """``value`` as a broadcast for what runs to its end inside; then no copy stays, the driver's included."""
+    shared = spark.sparkContext.broadcast(value)
+    try:
+        yield shared
+    finally:
+        shared.destroy()
+
+
 def _train_sharded(rows: DataFrame, n: int, positive: int, seed: int = 7) -> Model:
     """``shard, y, text`` in files ordered by shard, whatever their number: in each epoch every shard trains from the
     same weights, whose next values are the means of the shards'; a bucket's, of those shards that moved it.  The
@@ -348,15 +389,16 @@ def _train_sharded(rows: DataFrame, n: int, positive: int, seed: int = 7) -> Mod
     m = _initial(n, positive, np.random.default_rng(seed))
     if not 0 < positive < n:
         return m
-    odds, _ = _block_sums(rows.mapInArrow(_count_shards, _SUMS_SQL), lambda held: _log_odds(held.T, n - positive, positive)[:, None], 2)
+    odds, _ = _block_sums(rows.mapInArrow(_count_shards, _SUMS_SQL), lambda held: _log_odds(held.T, n - positive, positive)[:, None], 2, 1)
     m.emb[:, 0] = odds[:, 0]
-    adam = _Adam.of(m)
+    adam, unseen = _Adam.of(m), _unseen(n, positive, seed)
     for epoch in range(EPOCHS):
-        shared = spark.sparkContext.broadcast((m, adam))
-        moves, dense = _block_sums(rows.mapInArrow(_train_shards(shared, _weight(n, positive), epoch, seed), _SUMS_SQL), _mean_moves, DIM + 2)
-        shared.unpersist()
+        with _shared(spark, _packed(m, adam, unseen, (n, positive, seed))) as shared:
+            moves, dense = _block_sums(rows.mapInArrow(_train_shards(shared, _weight(n, positive), epoch, seed), _SUMS_SQL),
+                                       _mean_moves, DIM + 2, DIM + 1)
         m.emb += moves[:, :DIM]
         adam.emb_var += moves[:, DIM]
+        del moves
         total = sum(np.frombuffer(x, np.float64) for x in dense)
         _set_flat(m, adam, total[2:] / total[0])
         if total[1] < ENOUGH * total[0]:
@@ -442,7 +484,10 @@ def _calibrated(rows: DataFrame, model: Model) -> Model:
     model.limits = {None: THRESHOLD}
     reached = sum((F.col("score") >= float(x)).cast("int") for x in GRID)
     counts: dict = {}
-    for r in (score(rows.select("y", "text", "lang"), model).groupBy("lang", "y", reached.alias("reached")).count().collect()):
+    with _shared(rows.sparkSession, model) as shared:
+        scored = _scored(rows.select("y", "text", "lang"), shared, "text", "lang", "score")
+        found = scored.groupBy("lang", "y", reached.alias("reached")).count().collect()
+    for r in found:
         counts.setdefault((r["lang"], r["y"]), np.zeros(len(GRID) + 1, np.int64))[r["reached"]] += r["count"]
     model.limits = _limits(counts)
     return model
@@ -473,7 +518,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 def score(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang", out: str = "score") -> DataFrame:
     """``docs`` without its text column's copy: all columns, then ``<out>`` (0 to 1) and
     ``<out>_limit`` (the threshold of the row's language)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)     # fixed size: BUCKETS x DIM floats
+    return _scored(docs, docs.sparkSession.sparkContext.broadcast(model), text, lang, out)     # fixed size: BUCKETS x DIM floats
+
+
+def _scored(docs: DataFrame, shared: Broadcast, text: str, lang: str, out: str) -> DataFrame:
     names = docs.columns
     t, g = names.index(text), names.index(lang) if lang in names else None
 

@@ -1,6 +1,7 @@
 """Operators 8 and 10: held-out accuracy, and the chain and network against plain forms."""
 
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -152,3 +153,33 @@ def test_dead_filters_are_zero():
     texts = [" ".join(rng.choice(["a", "b", "c", "scum"], 6)) for _ in range(400)]
     m = T.train(texts, np.array([int("scum" in t) for t in texts]))
     assert all(((np.abs(w) >= T.TINY) | (w == 0)).all() for w in T._dense(m))
+
+
+def test_sharded_training_leaves_no_weights_on_the_driver(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 50} " + ("idiot scum" if i % 4 == 0 else "fine day"), "en") for i in range(400)],
+                                 "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().memoryStore()
+    before = store.memoryUsed()
+    model = T.fit(docs, labels, rows=100)
+    end = time.time() + 20
+    while store.memoryUsed() - before > 4_000_000 and time.time() < end:      # blocks go in the background
+        time.sleep(0.2)
+    assert store.memoryUsed() - before <= 4_000_000                           # the weights are 8 MB, once an epoch
+    assert model.emb.shape == (T.BUCKETS, T.DIM) and set(model.limits) == {None, "en"}
+
+
+def test_tasks_get_the_model_from_the_buckets_that_differ():
+    drawn = 10, 4, 7
+    m, unseen = T._unseen(*drawn), T._unseen(*drawn)
+    adam = T._Adam.of(m)
+    assert len(T._packed(m, adam, unseen, drawn)[1]) == 0
+    m.emb[5] += 1
+    m.emb[T.BUCKETS - 1, 0] = -0.25
+    adam.emb_var[9] = 2
+    m.conv[1] += 0.5
+    m.bias, adam.step = 0.125, 77
+    packed = T._packed(m, adam, unseen, drawn)
+    assert packed[1].tolist() == [5, 9, T.BUCKETS - 1]
+    m2, adam2 = T._unpacked(packed)
+    assert (m2.emb == m.emb).all() and (adam2.emb_var == adam.emb_var).all() and (T._flat(m2, adam2) == T._flat(m, adam)).all()
